@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe_count, hash_ring, piece_codec
+from quillon.llm import bpe_count, hash_ring, packing, piece_codec
 
 WORDS = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -22,6 +22,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encoding_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
