@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe_count, hash_ring, packing, piece_codec
+from quillon.llm import bpe_count, fingerprint, hash_ring, packing, piece_codec
 
 WORDS = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
