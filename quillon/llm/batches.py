@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is a slab of its own.
 SLAB_BYTES = 2_000_000
@@ -20,7 +21,7 @@ def slabs(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLAB_BYTE
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             before = int(ends[start - 1]) if start else 0
@@ -68,3 +69,45 @@ def utf8(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.zeros(len(parts) + 1, dtype=np.int64)
     np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)), out=offsets[1:])
     return np.frombuffer(b"".join(parts), dtype=np.uint8), offsets
+
+
+def fresh_name(taken: list[str], name: str) -> str:
+    """`name`, with underscores before it until no column of `taken` has it (in any case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
+def with_scores(df, text_col: str, name: str, score):
+    """`df` with a double column: score(texts) of each batch's texts, null texts given as empty. All columns pass unread."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+    k = [c.lower() for c in df.columns].index(text_col.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slabs(batches, df_columns[k]):
+            found = score([t or "" for t in part.column(k).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*df_columns, name])
+
+    df_columns = list(df.columns)
+    return df.mapInArrow(run, schema)
+
+
+def labelled_sample(docs, labels, label_col: str, limit: int, remainder: tuple[int, int], id_col: str = "doc_id", text_col: str = "text"):
+    """(text, label 0/1) of about `limit` rows at most, picked by a hash of the id among those that may be learnt from.
+
+    remainder (m, r): ids whose CRC-32 leaves r when divided by m are held out. The labels that are kept number `limit`
+    at most, whatever the input, so they are broadcast and the texts don't move.
+    """
+    from pyspark.sql import functions as F
+
+    m, r = remainder
+    known = labels.select(F.col(id_col).cast("bigint").alias("key"), F.col(label_col).cast("int").alias("label")).where("key is not null and label in (0, 1)")
+    known = known.where(F.crc32(F.col("key").cast("string")) % m != r).groupBy("key").agg(F.max("label").alias("label"))
+    n = known.count()
+    share = min(1.0, limit / max(n, 1))
+    picked = known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(picked), "key").select("text", "label")
