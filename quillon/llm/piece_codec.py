@@ -27,8 +27,10 @@ from quillon.llm.batches import slabs
 from quillon.runtime import ship
 
 SPACE = "▁"
-#: Words (and pairs) kept by a worker before it starts its tables anew.
-KEPT = 300_000
+#: Words kept by a worker before it starts its tables anew.
+KEPT = 1_200_000
+#: Pairs and beginnings of pieces kept.
+PAIRS = 400_000
 SCHEMA = "id bigint, n_tokens bigint, ids array<int>, decoded string"
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -58,10 +60,15 @@ class Codec:
             raise ValueError("a piece spans two words")
         spanned = set("".join(p for p in self.plain if len(p) > 1))
         self.alone = "\n" if "\n" not in spanned else ""
-        self.cutter = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if self.alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        # marks that no piece holds after a letter or digit: a word may be cut before them, and so recurs more often
+        after = {b for p in self.plain for a, b in zip(p, p[1:]) if a.isalnum()}
+        marks = re.escape("".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after))
+        ends = f"[{marks}{SPACE}{self.alone}]" if marks or self.alone else SPACE
+        self.cutter = re.compile(f"{SPACE}*[^\\W\\d_]++(?={ends}|\\Z)|{SPACE}+[^{SPACE}{self.alone}]*|[^{SPACE}{self.alone}]+" + ("|\n" if self.alone else ""))
         self.fits: dict[tuple[str, str], bool] = {}
         self.prefixes: dict[str, list[str]] = {}
-        self.words: dict[str, tuple[str, str]] = {}
+        self.words: dict[str, str] = {}  # a chunk's ids, joined by commas
+        self.odd: dict[str, str] = {}  # the decoded text of those chunks whose text it isn't
 
     def merged(self, text: str) -> list[str]:
         """The merge encoding by definition: join the best pair, the leftmost of equals, until none is left."""
@@ -81,7 +88,7 @@ class Codec:
         """Whether the merges leave pieces a and b, side by side, as they are."""
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) >= KEPT:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
             known = self.fits[a, b] = self.merged(a + b) == [a, b]
         return known
@@ -90,7 +97,7 @@ class Codec:
         """All pieces that start `piece`, the longest (itself) first, that merging reaches; a character alone always is one."""
         found = self.prefixes.get(piece)
         if found is None:
-            if len(self.prefixes) >= KEPT:
+            if len(self.prefixes) >= PAIRS:
                 self.prefixes.clear()
             heads = [piece[:k] for k in range(len(piece), 0, -1)]
             found = self.prefixes[piece] = [p for p in heads if len(p) == 1 or p in self.reached]
@@ -178,15 +185,34 @@ class Codec:
         """Without the space that encoding put first."""
         return spelled[1:] if spelled.startswith(" ") else spelled
 
-    def table(self, texts: list[list[str]]) -> dict[str, tuple[str, str]]:
-        """For every chunk of the texts its ids joined by commas and its decoded text; kept for the next texts."""
-        if len(self.words) > KEPT:
-            self.words.clear()
-        words = self.words
-        for c in {c for t in texts for c in t if c not in words}:
+    def learn(self, chunks: set[str]) -> None:
+        for c in chunks:
             ids = self.ids_of(self.segment(c))
-            words[c] = ",".join(map(str, ids)), self.spelled(ids)
-        return words
+            self.words[c] = ",".join(map(str, ids))
+            back = self.spelled(ids)
+            if back != c.replace(SPACE, " "):
+                self.odd[c] = back
+
+    def coded(self, texts: list[str]) -> list[tuple[str, str]]:
+        """For every text its ids joined by commas, and the text that they decode to."""
+        cut = [self.chunks(t) for t in texts]
+        get, out, open_ = self.words.get, [""] * len(cut), []
+        for k, c in enumerate(cut):
+            found = list(map(get, c))
+            try:
+                out[k] = ",".join(found)
+            except TypeError:  # some chunk is new
+                open_.append((k, found))
+        new = {c for k, found in open_ for c, x in zip(cut[k], found) if x is None}
+        if len(self.words) + len(new) > KEPT:
+            self.words.clear()
+            self.odd.clear()
+            new = {c for k, _ in open_ for c in cut[k]}
+        self.learn(new)
+        for k, _ in open_:
+            out[k] = ",".join(map(self.words.__getitem__, cut[k]))
+        odd = self.odd
+        return [(ids, self.strip("".join([odd.get(x, x) for x in c] if odd and not odd.keys().isdisjoint(c) else c).replace(SPACE, " "))) for ids, c in zip(out, cut)]
 
 
 def _text_of(raw: bytes) -> str:
@@ -218,13 +244,8 @@ def _coded(path: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for part in slabs(batches, "text"):
-            ids, cut = part.column(0), [c.chunks(t or "") for t in part.column(1).to_pylist()]
-            words = c.table(cut)
-            joined, spelled = [], []
-            for t in cut:
-                both = [words[x] for x in t]
-                joined.append(",".join([b[0] for b in both]))
-                spelled.append(c.strip("".join([b[1] for b in both])))
+            ids, coded = part.column(0), c.coded([t or "" for t in part.column(1).to_pylist()])
+            joined, spelled = [x[0] for x in coded], [x[1] for x in coded]
             n = [s.count(",") + 1 if s else 0 for s in joined]
             if digests:
                 sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
