@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.batches import fresh_name, labelled_sample, slabs, with_scores
+from quillon.llm.linear import logistic, sigmoid
 from quillon.runtime import ship
 
 #: Labelled rows to learn from, at most.
@@ -65,7 +66,7 @@ class LabelModel:
         k = np.arange(votes.shape[1])
         ratio = logs[1][k, votes + 1] - logs[0][k, votes + 1]
         z = np.log(self.prior / (1 - self.prior)) + ratio @ self.weight
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return sigmoid(z)
 
     @classmethod
     def fit(cls, votes: np.ndarray, rounds: int = 3, steps: int = 15) -> LabelModel:
@@ -129,8 +130,7 @@ class ToxicityModel:
         return votes, feats
 
     def score(self, texts: list[str]) -> np.ndarray:
-        z = self.views(texts)[1] @ self.coef[1:] + self.coef[0]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return sigmoid(self.views(texts)[1] @ self.coef[1:] + self.coef[0])
 
 
 _AUTOMATA: dict[tuple[str, ...], ahocorasick.Automaton] = {}
@@ -193,21 +193,6 @@ def mine_terms(sample: DataFrame) -> list[tuple[str, bool]]:
     return chosen
 
 
-def _logistic(x: np.ndarray, p: np.ndarray, l2: float = 1e-3, steps: int = 40) -> np.ndarray:
-    """Coefficients, the constant first, that fit probabilities p, by Newton steps."""
-    x = np.c_[np.ones(len(x)), x]
-    b = np.zeros(x.shape[1])
-    ridge = l2 * len(x) * np.eye(x.shape[1])
-    ridge[0, 0] = 1e-9
-    for _ in range(steps):
-        q = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (q * (1 - q) + 1e-6)[:, None]).T @ x + ridge, x.T @ (p - q) - ridge @ b)
-        b += step / max(1.0, np.abs(step).max() / 4)
-        if np.abs(step).max() < 1e-6:
-            break
-    return b
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Mine terms, fit the label model to the sample's votes, and the classifier to its posteriors."""
     ship(docs.sparkSession)
@@ -228,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     votes = np.stack([np.frombuffer(r["v"], np.int8) for r in rows]).astype(np.int64)
     feats = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(float)
     model = LabelModel.fit(votes)
-    return ToxicityModel(terms, _logistic(feats, model.posterior(votes), l2=1e-4), model)
+    return ToxicityModel(terms, logistic(feats, model.posterior(votes), l2=1e-4), model)
 
 
 def score(df: DataFrame, model: ToxicityModel, name: str, text_col: str = "text") -> DataFrame:
