@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe_count, fingerprint, hash_ring, packing, piece_codec, toxicity
+from quillon.llm import bpe_count, embed_dedup, fingerprint, hash_ring, packing, piece_codec, quality_crf, toxicity, url_tree
 
 WORDS = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,19 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_crf.fit(docs, _table(spark, sf_dir, "labels"))
+    return _judged(quality_crf.score(docs, model, "score"), quality_crf.HELD_OUT)
+
+
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_tree.judge(_table(spark, sf_dir, "pages"), RULES)
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encoding_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
