@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe_count, embed_dedup, fingerprint, hash_ring, packing, piece_codec, quality_crf, toxicity, url_tree
+from quillon.llm import bpe_count, embed_dedup, fingerprint, hash_ring, order_minhash, packing, piece_codec, quality_crf, toxicity, url_tree
 
 WORDS = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -26,6 +26,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.classes(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "kept", "n_words")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
