@@ -1,8 +1,52 @@
-"""A training corpus from documents, stage by stage."""
+"""A training corpus from documents: toxic ones go, bad ones go, of near copies one stays, and what is left is packed.
 
-STAGES = []
+Every stage takes (session, documents, folder of the tables) and works on all that its predecessor kept. Models are
+trained on the labels of documents that still are there when a stage begins.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from quillon.llm import order_minhash, packing, quality_crf, toxicity
+from quillon.runtime import cut
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't score as toxic."""
+    return toxicity.reject(docs, _labels(spark, sf_dir))
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose lines score as good."""
+    return quality_crf.reject(docs, _labels(spark, sf_dir))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return order_minhash.keep_one(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of 2048, with the places of all documents that are left."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", clean_language), ("quality", good_quality), ("near_dedup", without_near_copies), ("packing", packed)]
+#: The trained models and the alignment have no form in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what each stage keeps is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs, name)
+    return docs
