@@ -73,9 +73,9 @@ def first_argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
-def e_value(rr: Column) -> Column:
-    """Strength of confounding that could explain a risk ratio."""
-    r = F.when(rr < 1, 1 / rr).otherwise(rr)
+def e_value(effect: Column) -> Column:
+    """Strength of confounding that could explain a standardised effect, by its approximate risk ratio exp(0.91 |d|)."""
+    r = F.exp(0.91 * F.abs(effect))
     return r + F.sqrt(r * (r - 1))
 
 

@@ -98,14 +98,14 @@ def ks_distance(df: DataFrame, value: str, side: str, by: list[str]) -> DataFram
 
 
 def standardized_difference(df: DataFrame, items: list[str], treat: str, weight: Column) -> DataFrame:
-    """item, smd: weighted means, unweighted population variances of the arms; 0 where both are constant."""
+    """item, smd (absolute): weighted means, unweighted population variances of the arms; by 1 where both are constant."""
     t, one = F.col(treat), F.lit(1.0)
     long = df.withColumn("_w", weight * one).unpivot([treat, "_w"], items, "item", "x").where("x is not null")
     w, x = F.col("_w"), F.col("x")
     arm = lambda v: F.when(t == v, x)
     mean = lambda v: F.sum(F.when(t == v, w * x)) / F.sum(F.when(t == v, w))
     s = long.groupBy("item").agg((mean(1) - mean(0)).alias("d"), F.sqrt((F.var_pop(arm(1)) + F.var_pop(arm(0))) / 2).alias("sd"))
-    return s.select("item", F.when(F.col("sd") > 0, F.col("d") / F.col("sd")).otherwise(0.0).alias("smd"))
+    return s.select("item", F.abs(F.col("d") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).alias("smd"))
 
 
 def direct_standardized(df: DataFrame, endpoint: str, stratum: str, cohort: str) -> DataFrame:

@@ -133,7 +133,7 @@ def _q14(spark, d):
     return a.ks_distance(li, "l_quantity", "side", ["l_returnflag"]).select("l_returnflag", F.round("ks", 8).alias("ks"))
 
 
-@query("weighted_smd", """WITH o AS (SELECT CAST(o_orderpriority = '1-URGENT' AS INTEGER) t, o_totalprice x, 1 + o_orderkey % 3 AS w FROM orders) SELECT 'o_totalprice' AS item, round((sum(w*x) FILTER (WHERE t=1) / sum(w) FILTER (WHERE t=1) - sum(w*x) FILTER (WHERE t=0) / sum(w) FILTER (WHERE t=0)) / sqrt((var_pop(x) FILTER (WHERE t=1) + var_pop(x) FILTER (WHERE t=0)) / 2), 8) AS smd FROM o""")
+@query("weighted_smd", """WITH o AS (SELECT CAST(o_orderpriority = '1-URGENT' AS INTEGER) t, o_totalprice x, 1 + o_orderkey % 3 AS w FROM orders) SELECT 'o_totalprice' AS item, round(abs(sum(w*x) FILTER (WHERE t=1) / sum(w) FILTER (WHERE t=1) - sum(w*x) FILTER (WHERE t=0) / sum(w) FILTER (WHERE t=0)) / sqrt((var_pop(x) FILTER (WHERE t=1) + var_pop(x) FILTER (WHERE t=0)) / 2), 8) AS smd FROM o""")
 def _q15(spark, d):
     """Weighted means, unweighted variances."""
     o = table(spark, d, "orders").withColumn("t", (F.col("o_orderpriority") == "1-URGENT").cast("int"))

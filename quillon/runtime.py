@@ -14,8 +14,10 @@ _ROOT = Path(__file__).resolve().parent
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers of the session's cluster, once per context."""
+    """Send this package to the Python workers of the session's cluster, once per context; keep Arrow batches small."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) in (None, "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # rows may hold long texts
     if getattr(sc, "_quillon_shipped", False):
         return spark
     path = os.path.join(tempfile.mkdtemp(), "quillon_src.zip")
