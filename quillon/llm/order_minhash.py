@@ -8,10 +8,12 @@ with the set they share. Texts that agree on any sketch meet in a bucket.
 Candidates are verified by banded alignment of their words: similarity is 1 - d / (words of the longer text), d the edit
 distance, computed bit-parallel within the band that the threshold allows. Links join documents into classes.
 
-Equal texts are one representative from the start. A bucket is searched by stars: its first member is compared with all
-others; those that neither link with it nor are connected to it yet meet again without it, and with its links as far as
-the triangle inequality of d leaves it open. So no pair that can link is lost, a bucket of thousands of copies costs as
-many comparisons as members, and no task gathers a bucket.
+Equal texts are one representative from the start. A bucket is searched by a star first: its least member is compared
+with all others, so a bucket of thousands of near copies costs as many comparisons as it has members. In buckets where
+some member is not connected after that, the rest is done exactly: members' word histograms, in tiles of bounded size,
+give a lower bound of d for every pair that isn't connected, and the pairs that it leaves open are aligned as well, each
+member's FIRST of least bounds before all others: most members are connected by then, and need no more alignments. No
+pair that can link is lost, and no task gathers a bucket.
 
 Defined results: a null text is an empty one, and empty texts are equal; words are parted by ASCII white space; a class
 is named by its least id, null if it has none; just one row of each class is kept, of repeated rows any one; a table
@@ -24,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +38,10 @@ from quillon.runtime import cut, ship
 
 WORDS, SKETCHES, KEEP = 5, 32, 2
 THRESHOLD = 0.8
-#: Star rounds before what is left of buckets is compared pair by pair, as far as bounds leave it open.
-ROUNDS = 5
+#: Cells of a word histogram (the first few for short words), and members of a tile's block, about.
+CELLS, SHORT_CELLS, TILE = 256, 32, 4096
+#: Open pairs of a member that are aligned in a first round; all that are open still follow in a second.
+FIRST = 4
 _U = np.uint64
 _ODD = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _U(0xA24BAED4963EE407)) | _U(1)
 _XOR = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _U(0x9FB21C651E98DF25))
@@ -55,8 +60,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def labelled_kmers(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of all texts' occurrence-labelled k-mers in text order, k-mers before each text and in all, words of each)."""
+def labelled_kmers(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of all texts' occurrence-labelled k-mers in text order, k-mers before each text and in all, words of each, histograms)."""
     data, offsets = utf8(texts)
     starts, ends, bounds = word_spans(data, offsets)
     words = span_hashes(data, starts, ends)
@@ -65,6 +70,8 @@ def labelled_kmers(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     for k in range(1, WORDS):  # k-mers as sums of their words' hashes, each turned by its place
         run[: len(words) - k] += mix(words[k:] + _U(k))
     text = np.repeat(np.arange(len(texts)), n)
+    cell = np.where(ends - starts < 5, words % _U(SHORT_CELLS), _U(SHORT_CELLS) + words % _U(CELLS - SHORT_CELLS)).astype(np.int64)
+    histograms = np.minimum(np.bincount(text * CELLS + cell, minlength=len(texts) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
     inside = np.arange(len(words)) - np.repeat(bounds[:-1], n) <= np.repeat(np.maximum(n - WORDS, 0), n)
     short = np.flatnonzero((n > 0) & (n < WORDS))
     for t in short.tolist():  # fewer words than a k-mer has: all of them are one
@@ -80,16 +87,16 @@ def labelled_kmers(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     nth = at - np.maximum.accumulate(np.where(new, at, 0))
     again = nth > 0
     kmer[order[again]] = mix(kmer[order[again]] + nth[again].astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F))
-    return kmer, np.searchsorted(text, np.arange(len(texts) + 1)), n
+    return kmer, np.searchsorted(text, np.arange(len(texts) + 1)), n, histograms
 
 
-def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(SKETCHES hashes of each text that has words, in rows; words of each text). Lexsort keeps equal k-mers in text order."""
-    kmer, bounds, n = labelled_kmers(texts)
+def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(SKETCHES hashes of each text that has words, in rows; words and histogram of each text)."""
+    kmer, bounds, n, histograms = labelled_kmers(texts)
     full = np.flatnonzero(np.diff(bounds))
     out = np.zeros((len(texts), SKETCHES), dtype=np.uint64)
     if not len(full):
-        return out, n
+        return out, n, histograms
     starts, sizes = bounds[full], np.diff(bounds)[full]
     for k in range(SKETCHES):
         h = (kmer ^ _XOR[k]) * _ODD[k]
@@ -106,15 +113,15 @@ def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for at in both:
             sketch = mix(sketch * _U(3) + kmer[at])
         out[full, k] = sketch
-    return out, n
+    return out, n, histograms
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slabs(batches, "text", 1_500_000):
-        s, n = sketches([t or "" for t in part.column(2).to_pylist()])
+        s, n, h = sketches([t or "" for t in part.column(2).to_pylist()])
         flat = pa.array(s.view(np.int64).ravel(), pa.int64())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * SKETCHES, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int32()), lists], ["id", "digest", "n", "sk"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int32()), lists, pa.array([r.tobytes() for r in h], pa.binary())], ["id", "digest", "n", "sk", "histogram"])
 
 
 def word_ids(a: str, b: str) -> tuple[list[int], list[int]]:
@@ -165,39 +172,35 @@ def banded_distance(x: list[int], y: list[int], most: int) -> int | None:
     return score if score <= most else None
 
 
-def compared(a: str, b: str, threshold: float) -> tuple[int, int | None]:
-    """(a lower bound of the word edit distance, the distance itself if it is within the threshold)."""
+def compared(a: str, b: str, threshold: float) -> int | None:
+    """The word edit distance, if it is within the threshold."""
     na, nb = len(a.split()), len(b.split())
     most = int((1 - threshold) * max(na, nb) + 1e-9)
     x, y = word_ids(a, b)
     shared = sum((Counter(x) & Counter(y)).values())
-    low = max(len(x), len(y)) - shared
-    if low > most:
-        return low, None
-    d = banded_distance(x, y, most)
-    return (most + 1, None) if d is None else (d, d)
+    if max(len(x), len(y)) - shared > most:
+        return None
+    return banded_distance(x, y, most)
 
 
 def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slabs(batches, "tb"):
-            low, dist = [], []
-            for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                x, d = compared(a, b, threshold)
-                low.append(x)
-                dist.append(d)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(low, pa.int32()), pa.array(dist, pa.int32())], ["a", "b", "low", "dist"])
+            dist = [compared(a, b, threshold) for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(dist, pa.int32())], ["a", "b", "dist"])
 
     return run
 
 
 def _verify(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], threshold: float) -> DataFrame:
-    """a, b, low, dist of the pairs. texts: (digest, text) of all rows, (digest, id); only the texts in pairs move twice."""
+    """a, b, dist of the pairs. texts: (digest, of, text) of all rows, (digest, of, id) of representatives; only texts in pairs move twice."""
+    pairs = cut(pairs, "pairs")  # read for its ids, and again with their texts
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     digests = texts[1].join(wanted, "id", "left_semi")
-    mine = texts[0].join(digests, "digest").dropDuplicates(["id"]).select("id", "text")
+    all_ = texts[0]
+    mine = all_.join(digests, (all_["digest"] == digests["digest"]) & all_["of"].eqNullSafe(digests["of"])).dropDuplicates(["id"]).select("id", "text")
     both = pairs.join(mine.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(mine.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return cut(both.select("a", "b", "ta", "tb").mapInArrow(_verified(threshold), "a bigint, b bigint, low int, dist int"), "verified")
+    return cut(both.select("a", "b", "ta", "tb").mapInArrow(_verified(threshold), "a bigint, b bigint, dist int"), "verified")
 
 
 def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,42 +208,34 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     ship(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), _digest(text).alias("digest"), text.alias("text"))
-    narrow = cut(rows.mapInArrow(_sketched, "id bigint, digest binary, n int, sk array<bigint>"), "sketches")
-    least = narrow.groupBy("digest").agg(F.min("id").alias("least"), F.min_by(F.struct("n", "sk"), F.coalesce("id", F.lit((1 << 63) - 1))).alias("x"))
-    least = cut(least.select("digest", "least", "x.n", "x.sk"), "distinct")
+    narrow = cut(rows.mapInArrow(_sketched, "id bigint, digest binary, n int, sk array<bigint>, histogram binary"), "sketches")
+    least = narrow.groupBy("digest").agg(F.min("id").alias("least"), F.min_by(F.struct("n", "sk", "histogram"), F.coalesce("id", F.lit((1 << 63) - 1))).alias("x"))
+    least = cut(least.select("digest", "least", "x.n", "x.sk", "x.histogram"), "distinct")
     # a text is named by its least id; where another text has that id too, or there is none, by a hash of itself
     twice = least.groupBy("least").agg(F.count("*").alias("uses")).where("uses > 1 or least is null").select("least", F.lit(True).alias("vague"))
     named = F.when(F.col("least").isNull() | F.col("vague"), F.xxhash64("digest")).otherwise(F.col("least"))
-    reps = cut(least.join(twice, "least", "left").select("digest", "least", named.alias("rep"), "n", "sk"), "reps")
-    texts = (rows.select("digest", "text"), reps.select("digest", F.col("rep").alias("id")))
+    reps = least.join(twice, "least", "left").select("digest", "least", named.alias("rep"), "n", "sk", "histogram")
+    texts = (rows.select("digest", F.col("id").alias("of"), "text"), reps.select("digest", F.col("least").alias("of"), F.col("rep").alias("id")))
     members = cut(_members(reps), "members")
-    links, low = None, (1 - threshold)
-    near = F.abs(F.col("n") - F.col("pivot_n")) <= low * F.greatest("n", "pivot_n") + 1e-9
-    known, roots = None, None
-    for step in range(ROUNDS):
-        pivots = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("p")).select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"))
-        stars = members.join(pivots, "bucket").where("rep != pivot")
-        stars = cut(stars, "stars")
-        if stars.isEmpty():
-            break
-        asked = stars.where(near).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        found = _verify(asked if known is None else asked.join(known, ["a", "b"], "left_anti"), texts, threshold)
-        known = found if known is None else known.union(found)
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("p")).select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    stars = cut(members.join(pivots, "bucket").where("rep != pivot"), "stars")
+    roots = None
+    if not stars.isEmpty():
+        near = F.abs(F.col("n") - F.col("pivot_n")) <= (1 - threshold) * F.greatest("n", "pivot_n") + 1e-9
+        known = _verify(stars.where(near).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), texts, threshold)
         links = known.where("dist is not null").select("a", "b")
         roots = cut(components(links), "roots")
-        members, cross = _unsettled(stars, known, roots, low)
-        extra = _verify(cross.join(known, ["a", "b"], "left_anti"), texts, threshold) if not cross.isEmpty() else None
-        if extra is not None and not extra.where("dist is not null").isEmpty():
-            known = known.union(extra)
-            links = known.where("dist is not null").select("a", "b")
-            roots = cut(components(links), "roots")
-        if members.isEmpty():
-            break
-    else:
-        rest = members.join(members.select("bucket", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n")), "bucket").where(near & (F.col("pivot") < F.col("rep")))
-        rest = _apart(rest.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), roots)
-        found = _verify(rest.join(known, ["a", "b"], "left_anti"), texts, threshold)
-        roots = cut(components(links.union(found.where("dist is not null").select("a", "b"))), "roots")
+        for width in (FIRST, None):
+            open_ = cut(_open_pairs(members, roots, reps, threshold, width), "open")
+            seen = open_.agg(F.count("*").alias("n"), F.bool_or("more").alias("more")).first()
+            if not seen["n"]:
+                break
+            found = _verify(open_.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), texts, threshold)
+            known = known.union(found)
+            if not found.where("dist is not null").isEmpty():
+                roots = cut(components(known.where("dist is not null").select("a", "b")), "roots")
+            if not seen["more"]:
+                break
     of_text = reps.select("digest", "least", "rep", "n")
     of_text = of_text.withColumn("root", F.col("rep")) if roots is None else of_text.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     names = of_text.groupBy("root").agg(F.min("least").alias("class_id"))
@@ -274,23 +269,52 @@ def _members(reps: DataFrame) -> DataFrame:
     return all_.join(shared, "bucket", "left_semi")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b, ...) that no links connect yet."""
-    ra, rb = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    return pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
-
-
-def _unsettled(stars: DataFrame, known: DataFrame, roots: DataFrame, low: float) -> tuple[DataFrame, DataFrame]:
-    """After a round: (members that are not connected with their pivot, pairs of these with linked members that may link still)."""
-    seen = stars.select("bucket", F.col("pivot").alias("a"), F.col("rep").alias("b"), "n", "pivot_n").join(known, ["a", "b"], "left")
-    failed = cut(_apart(seen.where("dist is null"), roots), "failed")
-    again = failed.select("bucket", F.col("b").alias("rep"), "n")
-    if failed.isEmpty():
-        return again, failed.select("a", "b").limit(0)
-    sizes = again.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    # d(f, s) >= d(f, pivot) - d(pivot, s), and >= the difference in length
-    linked = seen.where("dist is not null").join(failed.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("b").alias("s"), F.col("n").alias("s_n"), F.col("dist").alias("s_dist"))
-    most = low * F.greatest("n", "s_n") + 1e-9
-    open_ = failed.join(linked, "bucket").where((F.abs(F.col("n") - F.col("s_n")) <= most) & (F.coalesce("low", F.abs(F.col("n") - F.col("pivot_n"))) - F.col("s_dist") <= most))
-    cross = open_.select(F.least("b", "s").alias("a"), F.greatest("b", "s").alias("b")).distinct()
-    return cut(again.join(sizes, "bucket", "left_semi"), "members"), cut(_apart(cross, roots), "cross")
+def _open_pairs(members: DataFrame, roots: DataFrame, reps: DataFrame, threshold: float, width: int | None) -> DataFrame:
+    """a, b, more: pairs (a < b) of a bucket that are not connected and that histograms leave open, from buckets in parts.
+
+    Of each member's the `width` with the least bounds (all for None); more: others are left.
+    """
+    root = roots.select(F.col("node").alias("rep"), "root")
+    labelled = members.join(root, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    parts = labelled.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    blocks = parts.select("bucket", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
+    placed = labelled.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    meets = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "rep", "n", "root")
+    full = meets.join(reps.select("rep", "histogram", "sk"), "rep")
+    return full.groupBy("bucket", "one", "two").applyInPandas(_bounded(threshold, width), "a bigint, b bigint, more boolean").distinct()
+
+
+def _bounded(threshold: float, width: int | None):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n", kind="stable")
+        rep, n, root, block = (rows[c].to_numpy() for c in ("rep", "n", "root", "block"))
+        hist = np.frombuffer(b"".join(rows["histogram"]), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        sk = np.stack(rows["sk"].to_numpy())
+        a, b, more = [], [], []
+        names, sizes = np.unique(root, return_counts=True)
+        most_common = names[sizes.argmax()]  # its members need no turn of their own: every open pair has another member
+        for f in np.flatnonzero(root != most_common):
+            # d is at least the surplus of words on either side
+            lo = np.searchsorted(n, threshold * n[f] - 1e-9, side="left")
+            hi = np.searchsorted(n, n[f] / threshold + 1e-9, side="right")
+            at = np.arange(lo, hi)
+            at = at[(root[at] != root[f]) & ((block[at] != block[f]) if key[1] != key[2] else True) & ((root[at] == most_common) | (at > f))]
+            if not len(at):
+                continue
+            gap = hist[at] - hist[f]
+            up = np.maximum(gap, 0).sum(1)
+            down = up - gap.sum(1)
+            low = np.maximum(up, down)
+            open_ = low <= (1 - threshold) * np.maximum(n[at], n[f]) + 1e-9
+            at, low = at[open_], low[open_]
+            if len(at):  # a pair that meets in several buckets is told by the first sketch it shares
+                mine = sk[f, (sk[at] == sk[f]).argmax(1)] == key[0]
+                at, low = at[mine], low[mine]
+            best = at if width is None or len(at) <= width else at[np.argsort(low, kind="stable")[:width]]
+            a.append(np.minimum(rep[best], rep[f]))
+            b.append(np.maximum(rep[best], rep[f]))
+            more.append(np.full(len(best), len(best) < len(at)))
+        columns = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((a, np.int64), (b, np.int64), (more, bool))]
+        return pd.DataFrame(dict(zip(("a", "b", "more"), columns)))
+
+    return run
