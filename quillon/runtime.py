@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -36,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = f"/tmp/checkpoints/quillon-{uuid.uuid4().hex}"
         sc.setCheckpointDir(named)
+        atexit.register(shutil.rmtree, named, ignore_errors=True)  # ours, and only of a session without a cluster's folder
     return named.rstrip("/")
 
 
