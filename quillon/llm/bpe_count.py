@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,16 @@ from pyspark.sql import functions as F
 from quillon.llm.batches import slabs
 from quillon.runtime import ship
 
-#: Words kept by a worker before it starts its table anew.
-KEPT = 400_000
+#: Words kept by a worker; beyond that the later half goes.
+KEPT = 1_200_000
 #: Symbols merged at once.
 SYMBOLS = 400_000
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 _SIMPLE = re.compile("[a-z']+|[0-9]|[^a-z0-9\\s']+")
 _PLAIN = re.compile("[\\x21-\\x7e]*\\Z")
+#: Texts of these characters alone are cut in one go: each is what it is under the vocabulary's normalisation, but for case.
+_EASY = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*+\\Z")
+_PRE = re.compile("'(?:[stmd]|re|ve|ll)|[a-zß-öø-ÿ]++|[0-9]|[^\\sa-zß-öø-ÿ0-9]++")
 _LETTERS = re.compile("[a-zß-öø-ÿ]+\\Z")
 #: What str.split() takes for white space and the vocabulary's patterns do not.
 _SOLID = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -63,21 +67,32 @@ class Counter:
         ids = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], dtype=np.int64).reshape(-1, 3)
         self.width = max(vocab.values()) + 1
         keys = ids[:, 0] * self.width + ids[:, 1]
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), ids[:, 2]
+        self.made = ids[:, 2]
+        self.slots = _slots(keys)
         if len(np.unique(self.made)) != len(self.made):
             raise ValueError("two merges make the same symbol; merging all pairs of a rank at once would not be exact")
         shown = _byte_characters()
         self.first = np.array([vocab.get(shown[b], -1) for b in range(256)], dtype=np.int64)
         self.last = np.array([vocab.get(shown[b] + self.end, -1) for b in range(256)], dtype=np.int64)
         self.counts: dict[str, int] = {}
+        self.usual = self.split is not None and all("".join(x for x, _ in self.split.pre_tokenize_str(self.normal.normalize_str(t))) == "".join(shown[b] for w in _PRE.findall(t.lower()) for b in w.encode()) for t in ("I'LL see 12 Éß's!?", "a'b''s <x>\ty"))
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair; the number of merges where there is none."""
-        keys = left * self.width + right
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, self.ranks[at], len(self.made)) if len(self.keys) else np.full(len(keys), 0)
+        keys, (held, rank) = left * self.width + right, self.slots
+        at = _slot(keys, len(held))
+        seen = held[at]
+        out = np.where(seen == keys, rank[at], len(self.made))
+        open_ = np.flatnonzero((seen != keys) & (seen >= 0))  # another pair's slot: look on
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) % len(held)
+            seen, mine = held[at], keys[open_]
+            hit = seen == mine
+            out[open_[hit]] = rank[at[hit]]
+            more = ~hit & (seen >= 0)
+            open_, at = open_[more], at[more]
+        return out
 
     def survivors(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols that are left of the ragged sequences, and how many in each: (symbols, lengths)."""
@@ -106,7 +121,7 @@ class Counter:
             keep[at + 1] = False
             new = np.cumsum(keep) - 1
             symbols, seq, rank, at = symbols[keep], seq[keep], rank[keep], new[at]
-            stale = np.unique(np.r_[at, at[at > 0] - 1])
+            stale = np.r_[at, at[at > 0] - 1]
             rank[stale] = self._ranks(symbols, seq, stale)
         parts = [np.concatenate(x) for x in zip(*done_symbols)] if done_symbols else [np.zeros(0, np.int64)] * 2
         order = np.argsort(parts[0], kind="stable")
@@ -124,6 +139,8 @@ class Counter:
 
     def pre_tokens(self, word: str) -> list[bytes]:
         """The pre-tokens, in bytes, of a word without white space."""
+        if _LETTERS.match(word):
+            return [word.encode()]
         low = word.lower()
         if _LETTERS.match(low):
             return [low.encode()]
@@ -149,22 +166,6 @@ class Counter:
             k = stop
         return (np.concatenate(done), np.concatenate(counts)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def learn(self, words: set[str]) -> None:
-        """Enter the counts of new words."""
-        new = [w for w in words if w not in self.counts]
-        if not new:
-            return
-        if len(self.counts) > KEPT:
-            self.counts.clear()
-            new = list(words)
-        cut = [self.pre_tokens(w) for w in new]
-        places: dict[bytes, int] = {}
-        for c in cut:
-            for p in c:
-                places.setdefault(p, len(places))
-        n = self.encode(list(places))[1].tolist()
-        self.counts.update(zip(new, [sum([n[places[p]] for p in c]) for c in cut]))
-
     def words(self, text: str) -> tuple[list[str], int]:
         """The words between white space, and the number of added tokens."""
         if self.added is None or "<" not in text:
@@ -172,11 +173,62 @@ class Counter:
         parts = self.added.split(text)
         return [w for p in parts for w in white_split(p)], len(parts) - 1
 
+    def cut(self, text: str) -> tuple[list[str], int]:
+        """(words or pre-tokens, added tokens) of a text: pre-tokens where one pattern finds them, words between white space otherwise."""
+        if self.usual and _EASY.match(text) and (self.added is None or "<" not in text or not self.added.search(text)):
+            return _PRE.findall(text.lower()), 0
+        return self.words(text)
+
+    def pieces_of(self, new: list[str]) -> tuple[list[list[int]], list[bytes]]:
+        """Each new word as numbers of distinct pre-tokens, and these."""
+        places: dict[bytes, int] = {}
+        return [[places.setdefault(p, len(places)) for p in self.pre_tokens(w)] for w in new], list(places)
+
+    def learn(self, new: list[str]) -> None:
+        """Enter the counts of new words."""
+        cut, distinct = self.pieces_of(new)
+        n = self.encode(distinct)[1].tolist()
+        self.counts.update(zip(new, [n[c[0]] if len(c) == 1 else sum([n[k] for k in c]) for c in cut]))
+
     def count(self, texts: list[str]) -> list[int]:
-        cut = [self.words(t) for t in texts]
-        self.learn(set().union(*[c[0] for c in cut]))
-        of = self.counts
-        return [sum([of[w] for w in words]) + extra for words, extra in cut]
+        cuts = [self.cut(t) for t in texts]
+        return [sum(found) + extra for found, (_, extra) in zip(looked_up(self.counts, [c[0] for c in cuts], self.learn, KEPT), cuts)]
+
+
+def _slot(keys: np.ndarray, size: int) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+
+
+def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, positions) in an open-addressed table of a power of two, at most a quarter full; -1 where it is empty."""
+    size = 1 << max(4, (4 * len(keys)).bit_length())
+    held, place = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+    for k, (key, at) in enumerate(zip(keys.tolist(), _slot(keys, size).tolist())):
+        while held[at] >= 0:
+            at = (at + 1) % size
+        held[at], place[at] = key, k
+    return held, place
+
+
+def halve(table: dict) -> None:
+    """Keep the half of the entries that came first: frequent words come early."""
+    first = dict(islice(table.items(), len(table) // 2))
+    table.clear()
+    table.update(first)
+
+
+def looked_up(table: dict, cuts: list[list[str]], learn, kept: int) -> list[list]:
+    """The table's values of all words of each cut; words that it lacks are learnt first, into a halved table if it is full."""
+    small = dict.fromkeys(chain.from_iterable(cuts))  # of these texts alone: it stays in the processor's caches
+    values = list(map(table.get, small))
+    new = [w for w, v in zip(small, values) if v is None]
+    if len(table) + len(new) > kept:
+        halve(table)
+    if new:
+        learn(new)
+    for w, v in zip(small, values):
+        small[w] = table[w] if v is None else v
+    return [list(map(small.__getitem__, c)) for c in cuts]
 
 
 def _byte_characters() -> dict[int, str]:

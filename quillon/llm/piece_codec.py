@@ -24,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.batches import slabs
+from quillon.llm.bpe_count import halve
 from quillon.runtime import ship
 
 SPACE = "▁"
-#: Words kept by a worker before it starts its tables anew.
+#: Words kept by a worker; beyond that the later half goes.
 KEPT = 1_200_000
 #: Pairs and beginnings of pieces kept.
 PAIRS = 400_000
@@ -205,9 +206,9 @@ class Codec:
                 open_.append((k, found))
         new = {c for k, found in open_ for c, x in zip(cut[k], found) if x is None}
         if len(self.words) + len(new) > KEPT:
-            self.words.clear()
-            self.odd.clear()
-            new = {c for k, _ in open_ for c in cut[k]}
+            halve(self.words)
+            self.odd = {c: t for c, t in self.odd.items() if c in self.words}
+            new = {c for k, _ in open_ for c in cut[k] if c not in self.words}
         self.learn(new)
         for k, _ in open_:
             out[k] = ",".join(map(self.words.__getitem__, cut[k]))
