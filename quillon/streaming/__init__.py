@@ -1 +1 @@
-"""See the modules of this package."""
+"""Visits are discrete and panels are tables: no operator of this engine needs a stream."""
