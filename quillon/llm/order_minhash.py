@@ -280,7 +280,8 @@ def _open_pairs(members: DataFrame, roots: DataFrame, reps: DataFrame, threshold
     blocks = parts.select("bucket", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
     placed = labelled.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     meets = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "rep", "n", "root")
-    full = meets.join(reps.select("rep", "histogram", "sk"), "rep")
+    tasks = int(meets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work follows a tile's pairs, not its bytes
+    full = meets.join(reps.select("rep", "histogram", "sk"), "rep").repartition(tasks, "bucket", "one", "two")
     return full.groupBy("bucket", "one", "two").applyInPandas(_bounded(threshold, width), "a bigint, b bigint, more boolean").distinct()
 
 
