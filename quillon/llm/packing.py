@@ -4,8 +4,8 @@
    pieces and a last, shorter one. Pieces are narrow rows, written once to the shared folder.
 2. Their lengths make a histogram of at most `capacity` numbers, whatever the number of documents.
 3. The driver enumerates patterns of up to three lengths that fill a sequence exactly, fits how often each is repeated
-   by non-negative least squares (accelerated projected gradient: every pattern column has three entries), rounds down
-   to what the histogram holds, and packs the residual lengths, largest first, each into the fullest place it fits.
+   by non-negative least squares (accelerated projected gradient: every pattern column has three entries), rounds as
+   far as the histogram lasts, and packs the residual lengths, largest first, each into the fullest place it fits.
 4. The outcome is a list of (pattern, repeats); of each length a run of places. A piece takes the place of its rank
    among the pieces of its length. Ranks are counted in salted groups, so a frequent length is no single task's work.
 
@@ -25,21 +25,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.llm.batches import slabs
-from quillon.llm.bpe_count import Counter
+from quillon.llm.bpe_count import Counter, looked_up
 from quillon.runtime import cut, ship
 
-#: Words kept by a worker before it starts its table anew.
-KEPT = 300_000
+#: Words kept by a worker; beyond that the later half goes.
+KEPT = 1_000_000
 #: Groups that a length's pieces are ranked in.
 SALTS = 64
 #: Steps of the least-squares fit.
 STEPS = 300
+#: Repeats from which a pattern is used; of the plans that they give the shorter is kept.
+ROUNDED_FROM = (0.3, 1.0)
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt int"
 PLACED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
 
 class WordIds:
-    """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit bytes; those of words are kept."""
+    """Ids of whole texts as the tokenizers library gives them, as little-endian unsigned 32-bit bytes; those of words are kept.
+
+    Texts in which added tokens occur go through the library; the words of all others are merged as for token counts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,30 +53,17 @@ class WordIds:
         self.cutter = Counter(path)
         self.known: dict[str, bytes] = {}
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if not new:
-            return
-        if len(self.known) > KEPT:
-            self.known.clear()
-            new = list(words)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            e = self.lib.encode(" ".join(part), add_special_tokens=False)  # white space parts pre-tokens and is dropped
-            begins = np.cumsum([0] + [len(w) + 1 for w in part])
-            ids = np.array(e.ids, dtype="<u4")
-            at = np.searchsorted(begins, np.array([o[0] for o in e.offsets], dtype=np.int64), side="right") - 1
-            ends = np.searchsorted(at, np.arange(len(part)), side="right")
-            raw, before = ids.tobytes(), 0
-            for w, end in zip(part, (ends * 4).tolist()):
-                self.known[w] = raw[before:end]
-                before = end
+    def learn(self, new: list[str]) -> None:
+        cut, distinct = self.cutter.pieces_of(new)
+        ids, n = self.cutter.encode(distinct)
+        raw, ends = ids.astype("<u4").tobytes(), [0, *(np.cumsum(n) * 4).tolist()]
+        of = [raw[a:b] for a, b in zip(ends, ends[1:])]
+        self.known.update(zip(new, [of[c[0]] if len(c) == 1 else b"".join([of[k] for k in c]) for c in cut]))
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        cutter, known = self.cutter, self.known
-        cuts = [cutter.words(t) for t in texts]
-        self.learn(set().union(*[c[0] for c in cuts if not c[1]]))
-        return [b"".join([known[w] for w in words]) if not added else np.array(self.lib.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for (words, added), t in zip(cuts, texts)]
+        cuts = [self.cutter.cut(t) for t in texts]
+        found = looked_up(self.known, [[] if c[1] else c[0] for c in cuts], self.learn, KEPT)
+        return [b"".join(f) if not c[1] else np.array(self.lib.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for f, c, t in zip(found, cuts, texts)]
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -151,17 +143,22 @@ def plan_packing(histogram: np.ndarray, capacity: int, steps: int = STEPS) -> li
         plan.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
     patterns = exact_patterns(np.flatnonzero(left), capacity)
-    if len(patterns):
-        x = fit_repeats(patterns, left.astype(float), steps)
-        order = np.argsort(-x, kind="stable")
-        for k in order[: int((x > 0.3).sum())].tolist():
-            parts = tuple(int(v) for v in patterns[k] if v)
-            room = min(int(left[v]) // parts.count(v) for v in set(parts))
-            n = min(room, max(1, int(x[k])))
-            if n > 0:
-                plan.append((parts, n))
-                for v in parts:
-                    left[v] -= n
+    x = fit_repeats(patterns, left.astype(float), steps) if len(patterns) else np.zeros(0)
+    order = np.argsort(-x, kind="stable")
+    plans = [_rounded(patterns[order[: int((x >= least).sum())]], x[order], left, capacity) for least in ROUNDED_FROM]
+    return plan + min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def _rounded(patterns: np.ndarray, x: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The patterns' repeats, rounded down but at least 1, as far as lengths last; the residual lengths best-fit."""
+    left, plan = left.copy(), []
+    for k, row in enumerate(patterns.tolist()):
+        parts = tuple(v for v in row if v)
+        n = min(max(1, int(x[k])), *(int(left[v]) // parts.count(v) for v in parts))
+        if n > 0:
+            plan.append((parts, n))
+            for v in parts:
+                left[v] -= n
     return plan + best_fit(left, capacity)
 
 
