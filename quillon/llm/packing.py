@@ -5,7 +5,8 @@
 2. Their lengths make a histogram of at most `capacity` numbers, whatever the number of documents.
 3. The driver enumerates patterns of up to three lengths that fill a sequence exactly, fits how often each is repeated
    by non-negative least squares (accelerated projected gradient: every pattern column has three entries), rounds as
-   far as the histogram lasts, and packs the residual lengths, largest first, each into the fullest place it fits.
+   far as the histogram lasts, and packs the residual lengths, largest first, each into the fullest place it fits,
+   of a short length as many to a sequence as it has room for.
 4. The outcome is a list of (pattern, repeats); of each length a run of places. A piece takes the place of its rank
    among the pieces of its length. Ranks are counted in salted groups, so a frequent length is no single task's work.
 
@@ -163,10 +164,23 @@ def _rounded(patterns: np.ndarray, x: np.ndarray, left: np.ndarray, capacity: in
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """The lengths, largest first, each into the fullest sequence that has room for it; equal sequences move as one."""
+    """The lengths, largest first, each into the fullest sequence that has room for it; equal sequences move as one.
+
+    The fullest sequence stays the fullest while it takes pieces of one length: it takes all that it has room for, then
+    the next does, and a new one is opened only where none has room. Each length adds two groups of sequences at most.
+    """
     open_: dict[int, dict[tuple[int, ...], int]] = {}  # room -> sequences' lengths -> how many
     rooms = np.zeros(capacity + 1, bool)
     closed: list[tuple[tuple[int, ...], int]] = []
+
+    def put(group: tuple[int, ...], room: int, count: int) -> None:
+        if not room:
+            closed.append((group, count))
+        else:
+            of = open_.setdefault(room, {})
+            of[group] = of.get(group, 0) + count
+            rooms[room] = True
+
     for length in range(capacity, 0, -1):
         n = int(left[length])
         while n:
@@ -179,18 +193,16 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
                     rooms[room] = False
             else:
                 group, room, count = (), capacity, n
-            took = min(n, count)
-            if count > took and group:
-                open_.setdefault(room, {})[group] = count - took
-                rooms[room] = True
-            n -= took
-            new = group + (length,)
-            if room == length:
-                closed.append((new, took))
-            else:
-                of = open_.setdefault(room - length, {})
-                of[new] = of.get(new, 0) + took
-                rooms[room - length] = True
+            each = room // length
+            full = min(n // each, count)
+            rest = min(n - full * each, each - 1) if full < count else 0
+            if full:
+                put(group + (length,) * each, room - each * length, full)
+            if rest:
+                put(group + (length,) * rest, room - rest * length, 1)
+            if group and (same := count - full - (rest > 0)):
+                put(group, room, same)
+            n -= full * each + rest
     return closed + [(g, n) for of in open_.values() for g, n in of.items()]
 
 

@@ -126,3 +126,37 @@ def test_packing_is_close_to_the_least(spark):
     assert (got == histogram).all()
     least = -(-int((histogram * np.arange(2049)).sum()) // 2048)
     assert sum(n for _, n in plan) <= 1.005 * least
+
+
+@pytest.mark.parametrize("counts", [{300: 6000}, {1: 100_000}, {length: 9091 for length in range(20, 31)}, {1500: 10, 3: 7000, 1: 5}, {2048: 3, 700: 1}])
+def test_short_frequent_lengths_share_sequences(counts):
+    histogram = np.zeros(2049, np.int64)
+    histogram[list(counts)] = list(counts.values())
+    plan = packing.plan_packing(histogram, 2048)
+    got = np.zeros(2049, np.int64)
+    for parts, n in plan:
+        assert n > 0 and sum(parts) <= 2048
+        for p in parts:
+            got[p] += n
+    assert (got == histogram).all()
+    # of one length capacity // length fit into a sequence; of several, what is filled decides
+    least = max(-(-n // (2048 // length)) for length, n in counts.items())
+    filled = -(-int((histogram * np.arange(2049)).sum()) // 2048)
+    assert sum(n for _, n in plan) <= max(least, 1.01 * filled + 1)
+
+
+def test_best_fit_equals_piece_by_piece():
+    r = random.Random(4)
+    for _ in range(200):
+        size = r.randint(3, 40)
+        left = np.array([0, *[r.choice([0, 0, 1, 2, 9, 30]) for _ in range(size)]])
+        rooms: list[int] = []
+        for length in range(size, 0, -1):
+            for _ in range(left[length]):
+                fits = [k for k, room in enumerate(rooms) if room >= length]
+                if fits:
+                    rooms[min(fits, key=rooms.__getitem__)] -= length
+                else:
+                    rooms.append(size - length)
+        plan = packing.best_fit(left, size)
+        assert sorted(size - sum(parts) for parts, n in plan for _ in range(n)) == sorted(rooms)
