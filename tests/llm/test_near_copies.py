@@ -56,6 +56,39 @@ def test_sketches_depend_on_order_and_not_on_the_batch():
     assert 0.2 < same < 0.8  # nearly all k-mers are shared; pairs that straddle the turn have another order
 
 
+def met(a, b):
+    """Whether each of the texts `a` meets its counterpart in `b` in a bucket."""
+    one, two = o.sketches(a), o.sketches(b)
+    keys = zip(one[3], two[3]) if len(one) > 3 else [((), ())] * len(a)
+    return np.array([bool((x == y).any() or set(k) & set(m)) for x, y, (k, m) in zip(one[0], two[0], keys)])
+
+
+def edited(r, n, places):
+    words = [f"w{r.randrange(10**9)}" for _ in range(n)]
+    return " ".join(words), " ".join(f"n{r.randrange(10**9)}" if k in places else w for k, w in enumerate(words))
+
+
+@pytest.mark.parametrize("n, share, even", [(300, 0.2, False), (300, 0.18, True), (300, 0.2, True), (200, 0.15, True), (50, 0.2, True), (15, 0.2, True), (10, 0.2, False)])
+def test_pairs_at_the_threshold_meet(n, share, even):
+    r = random.Random(6)
+    d = round(n * share)
+    pairs = [edited(r, n, {int((k + 0.5) * n / d) for k in range(d)} if even else set(r.sample(range(n), d))) for _ in range(400)]
+    assert met(*zip(*pairs)).mean() >= 0.98  # expected: 0.99 or more
+
+
+def test_short_texts_one_edit_apart_meet(spark):
+    r = random.Random(7)
+    pairs = [edited(r, n, {k}) for n in range(5, 10) for k in range(n)]
+    pairs += [(a, " ".join(a.split()[:k] + a.split()[k + 1 :])) for n in range(5, 10) for a in [edited(r, n, ())[0]] for k in range(n)]
+    assert met(*zip(*pairs)).all()
+    rows = [(2 * k + j, t) for k, pair in enumerate(pairs[:35]) for j, t in enumerate(pair)]
+    assert {(x.id, x.class_id) for x in o.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(k, k - k % 2) for k, _ in rows}
+    # a group whose least member is one edit from all, and one that only others connect
+    chain = ["a b c d e f", "a b c d e x", "a b c d y x", "a b c z y x"]
+    rows = [(k, t) for k, t in enumerate(chain)]
+    assert {x.class_id for x in o.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
 def family(r, n, edits):
     words = [f"w{r.randrange(4000)}" for _ in range(n)]
     out = [list(words)]
