@@ -2,8 +2,10 @@
 
 1. A URL's path is cut into segments; numbers, long hexadecimal and mixed identifiers become typed wildcards at once.
    What is left is counted by host and typed path: all that follows works on these counts, not on pages.
-2. Level by level, a node whose children are more than MOST_CHILDREN different segments has a variable place: its
-   children become one wildcard. So a host's tree has at most MOST_CHILDREN ** DEPTH templates, whatever its pages.
+2. Level by level, a node whose children are more than MOST_CHILDREN different segments has a variable place: those
+   with less than RARE of its pages become a wildcard, one for all whose labels are like the other children's within the
+   Hoeffding bound, one for those that are worse, one for those that are better. Frequent segments stay. So a node has
+   at most 1 / RARE + 3 children, whatever its pages.
 3. In each host's tree, sibling branches whose distributions (labels, ends, segments below) differ by less than the
    Hoeffding bound, all the way down, are merged into one.
 4. A template is rejected if its labelled purity, smoothed by PRIOR pseudo-labels of even odds, reaches REJECT.
@@ -24,11 +26,13 @@ from pyspark.sql import functions as F
 
 from quillon.runtime import cut, ship
 
-DEPTH, MOST_CHILDREN = 4, 12
+DEPTH, MOST_CHILDREN, RARE = 4, 12, 0.01
 #: Confidence of the merging test, pseudo-labels, and the purity that rejects.
 ALPHA, PRIOR, REJECT = 0.05, 4.0, 0.8
 #: Words in host names that mark a page as unwanted.
 UNWANTED = ("casino", "bets", "betting", "pills", "pharma", "ads", "adserver", "track", "tracker", "spam", "adult", "porn", "xxx", "warez", "phishing", "malware")
+#: The Hoeffding bound is this by the sum of 1 / sqrt(pages) of both sides.
+_SCALE = math.sqrt(0.5 * math.log(2 / ALPHA))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,15 +67,20 @@ def typed_path(path: Column) -> Column:
 
 
 def _generalised(counts: DataFrame) -> DataFrame:
-    """host, typed, template, n, bad, good: variable places of each host's tree as *."""
+    """host, typed, template, n, bad, good: rare segments at variable places of each host's tree as *, *bad or *good."""
     out = counts.withColumn("seg", F.split("typed", "/")).withColumn("template", F.lit(""))
     for k in range(DEPTH + 1):
         child = F.get("seg", F.lit(k))
         # two steps, so a host's many children are counted in many tasks
-        wide = out.where(child.isNotNull()).groupBy("host", "template", child.alias("child")).agg(F.lit(1).alias("one"))
-        wide = wide.groupBy("host", "template").agg(F.count("*").alias("children")).where(F.col("children") > MOST_CHILDREN).select("host", "template", F.lit(True).alias("variable"))
-        out = out.join(wide, ["host", "template"], "left")
-        out = out.withColumn("template", F.when(child.isNull(), F.col("template")).otherwise(F.concat_ws("/", F.when(F.lit(k > 0), F.col("template")), F.when(F.col("variable"), "*").otherwise(child)))).drop("variable")
+        kids = out.where(child.isNotNull()).groupBy("host", "template", child.alias("child")).agg(*[F.sum(c).alias(f"{c}_c") for c in ("n", "bad", "good")])
+        nodes = kids.groupBy("host", "template").agg(F.count("*").alias("children"), *[F.sum(f"{c}_c").alias(f"{c}_all") for c in ("n", "bad", "good")]).where(F.col("children") > MOST_CHILDREN)
+        rare = kids.join(nodes, ["host", "template"]).where(F.col("n_c") < RARE * F.col("n_all"))
+        rest = F.col("n_all") - F.col("n_c")
+        bound = _SCALE * (1 / F.sqrt("n_c") + 1 / F.sqrt(rest))
+        more = {c: F.col(f"{c}_c") / F.col("n_c") - (F.col(f"{c}_all") - F.col(f"{c}_c")) / rest for c in ("bad", "good")}
+        wild = F.when((more["bad"] > bound) | (more["good"] < -bound), "*bad").when((more["good"] > bound) | (more["bad"] < -bound), "*good").otherwise("*")
+        out = out.withColumn("child", child).join(rare.select("host", "template", "child", wild.alias("wild")), ["host", "template", "child"], "left")
+        out = out.withColumn("template", F.when(F.col("child").isNull(), F.col("template")).otherwise(F.concat_ws("/", F.when(F.lit(k > 0), F.col("template")), F.coalesce("wild", "child")))).drop("wild", "child")
     return out.drop("seg")
 
 
@@ -88,7 +97,7 @@ class _Node:
 
 
 def _alike(a: _Node, b: _Node) -> bool:
-    bound = math.sqrt(0.5 * math.log(2 / ALPHA)) * (1 / math.sqrt(max(a.n, 1)) + 1 / math.sqrt(max(b.n, 1)))
+    bound = _SCALE * (1 / math.sqrt(max(a.n, 1)) + 1 / math.sqrt(max(b.n, 1)))
     shares = [(a.bad, b.bad), (a.good, b.good), (a.ends, b.ends)]
     names = a.children.keys() | b.children.keys()
     none = _Node()

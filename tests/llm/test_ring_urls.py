@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -98,3 +99,16 @@ def test_like_branches_merge_and_unlike_do_not():
         node.n, node.bad, node.good, node.ends = n, bad, n - bad, n
         root.n += n
     assert {frozenset(v) for v in url_tree._merged(root).values()} == {frozenset("ab"), frozenset("c")}
+
+
+@pytest.mark.parametrize("languages", [12, 13, 40, 300])
+def test_more_segments_do_not_change_a_verdict(spark, languages):
+    """Frequent or differently labelled segments stay apart; rare ones still share what is known of their place."""
+    names = ["de", *[f"{chr(97 + k // 26)}{chr(97 + k % 26)}q" for k in range(languages - 1)]]
+    rows = [(i * 1000 + k, f"http://a.example.com/{name}/{k}") for i, name in enumerate(names) for k in range(40)]
+    rows += [(10**6 + k, f"http://b.test/{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}/x") for k in range(2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    bad = url_tree.F.col("path").startswith("/de/") | (url_tree.F.col("host").eqNullSafe("b.test") & (url_tree.F.crc32("path") % 3 == 0))
+    out = {r.page_id: r for r in url_tree.judge(pages, [], bad, url_tree.F.lit(False)).collect()}
+    assert all(out[i * 1000 + k].verdict == ("allow" if i else "block") for i in range(languages) for k in range(40))
+    assert all(out[10**6 + k].verdict == "block" for k in range(2000))
