@@ -199,6 +199,9 @@ def score(df: DataFrame, model: QualityModel, name: str, text_col: str = "text")
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, with their columns, whose quality reaches the threshold."""
+    """The rows of `docs`, with their columns, whose quality reaches the threshold; all, if labels of both kinds are lacking."""
     name = fresh_name(docs.columns, "quality")
-    return score(docs, fit(docs, labels), name).where(F.col(name) >= threshold).drop(name)
+    model = fit(docs, labels)
+    if not len(model.weights):
+        return docs
+    return score(docs, model, name).where(F.col(name) >= threshold).drop(name)

@@ -97,3 +97,9 @@ def test_pipeline_stages(spark):
     assert docs.select("text").distinct().count() == before
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert out.select("doc_id").distinct().count() == before
+
+
+@pytest.mark.parametrize("kinds", [(), (0,), (1,)])
+def test_quality_keeps_all_without_labels_of_both_kinds(odd_docs, labels, kinds):
+    kept = quality_crf.reject(odd_docs, labels.where(labels["quality"].isin(*kinds)) if kinds else labels.limit(0))
+    assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
