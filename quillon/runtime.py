@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,10 +33,15 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (a local test), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets one of our own.
+
+    A cluster's executors would each write to their own disk there, so without that setting it is refused.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"/tmp/checkpoints/quillon-{uuid.uuid4().hex}"
         sc.setCheckpointDir(named)
         atexit.register(shutil.rmtree, named, ignore_errors=True)  # ours, and only of a session without a cluster's folder
@@ -47,4 +53,16 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._quillon_path = path
+    return back
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete what `cut` has written for these tables; nothing that is still to be read may depend on them."""
+    for df in tables:
+        path = getattr(df, "_quillon_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
