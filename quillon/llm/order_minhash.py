@@ -1,30 +1,36 @@
 """Near-duplicates of documents by Order MinHash.
 
-A text's k-mers are its runs of five words (of all its words, if fewer), labelled by occurrence, so each is distinct.
-Each of SKETCHES random orders picks the KEEP smallest labelled k-mers and keeps them in the order of the text: two
-texts agree on a sketch if they share these k-mers in the same order, which falls with their edit distance, not only
-with the set they share. Texts that agree on any sketch meet in a bucket.
+A text's k-mers are its runs of k words, labelled by occurrence, so each is distinct. Each of a family's random orders
+picks the smallest `keep` labelled k-mers of a text and keeps them in the order of the text: two texts agree on a sketch
+if they share these k-mers in the same order, which falls with their edit distance, not only with the set they share.
+Texts that agree on any sketch meet in a bucket. There are three FAMILIES:
 
-Such sketches alone miss texts whose edits are spread out: one in every five words leaves no run of five. So each of
-LOOSE more orders picks the least labelled run of LOOSE_WORDS words alone. A text in which no more than a fifth of its n
-words is edited keeps at least 0.4 n - 2 of its n - 2 runs of three, wherever the edits are, so from 10 words on a pair
-at the threshold of 0.8 meets with a probability of 0.99 or more. Below 10 words that threshold leaves one edit at most,
-and such texts meet for certain: by their words, and by their words without any one of them.
+* runs of five words, two of them: copies with few edits;
+* single words, seven of them: where one word in five is edited, wherever the edits are, 0.8 n of 1.2 n labelled words
+  are shared, so a sketch agrees with a probability of 0.0585 and one of 80 with 0.99 (runs of five words may all be
+  hit). Unlike texts share common words, but seven of them in one order only by chance: to share a fifth of the words is
+  to agree with a probability of 2.5e-9;
+* single words, four of them, of texts of at most SHORT words, which have too few words for seven.
+
+Below 10 words the threshold of 0.8 leaves one edit at most, and such texts meet for certain: by their words, and by
+their words without any one of them.
 
 Candidates are verified by banded alignment of their words: similarity is 1 - d / (words of the longer text), d the edit
-distance, computed bit-parallel within the band that the threshold allows. Links join documents into classes.
+distance, computed bit-parallel in a window that moves along the band which the threshold allows. Links join documents
+into classes.
 
-Equal texts are one representative from the start. A bucket is searched by a star first: its least member is compared
-with all others, so a bucket of thousands of near copies costs as many comparisons as it has members. In buckets where
-some member is not connected after that, the rest is done exactly: members' word histograms, in tiles of bounded size,
-give a lower bound of d for every pair that isn't connected, and the pairs that it leaves open are aligned as well, each
-member's FIRST of least bounds before all others: most members are connected by then, and need no more alignments. No
-pair that can link is lost, and no task gathers a bucket.
+Equal texts are one representative from the start. A representative is compared with one other first, the least that it
+meets in any bucket, so a class of thousands of near copies costs about as many comparisons as it has members and as
+many links. In buckets where some member is not connected after that, the rest is done exactly: members' word histograms,
+in tiles of bounded size, give a lower bound of d for every pair that isn't connected, and the pairs that it leaves open
+are aligned as well, each member's FIRST of least bounds before all others: most members are connected by then, and need
+no more alignments. No pair that meets is lost, and no task gathers a bucket. Members of a bucket's largest class meet
+only those outside it, so a large class with a few strangers stays linear.
 
 Defined results: a null text is an empty one, and empty texts are equal; words are parted by ASCII white space; a class
 is named by its least id, null if it has none; just one row of each class is kept, of repeated rows any one; a table
-without rows gives none. Texts are compared whole, whatever their length. Texts of 10 words or more that share no three
-words in a row don't meet, and a threshold below 0.8 loses more pairs than said above.
+without rows gives none. Texts are compared whole, whatever their length. A threshold below 0.8 loses more pairs than
+said above. Texts that are much alike but not enough (0.75, say) and share most sketches are aligned pair by pair.
 """
 
 from __future__ import annotations
@@ -40,11 +46,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.llm.batches import fresh_name, mix, slabs, span_hashes, utf8
-from quillon.llm.components import components
+from quillon.llm.components import joined
 from quillon.runtime import cut, ship
 
-WORDS, SKETCHES, KEEP = 5, 32, 2
-LOOSE_WORDS, LOOSE = 3, 32
+#: Words of a k-mer, k-mers of a sketch, sketches, and the most words of a text that has them (0: any).
+SHORT = 60
+FAMILIES = ((5, 2, 16, 0), (1, 7, 80, 0), (1, 4, 32, SHORT))
 #: Texts of at most so many words meet by what is left without one of them, from the least that the threshold leaves an edit.
 FEW, LEAST_EDITED = 9, 5
 THRESHOLD = 0.8
@@ -53,9 +60,11 @@ CELLS, SHORT_CELLS, COARSE, TILE = 256, 32, 64, 4096
 #: Open pairs of a member that are aligned in a first round; all that are open still follow in a second.
 FIRST = 4
 _U = np.uint64
-_ODD = mix(np.arange(1, SKETCHES + LOOSE + 1, dtype=np.uint64) * _U(0xA24BAED4963EE407)) | _U(1)
-_XOR = mix(np.arange(1, SKETCHES + LOOSE + 1, dtype=np.uint64) * _U(0x9FB21C651E98DF25))
-_MOST = _U(0xFFFFFFFFFFFFFFFF)
+_N = np.arange(1, sum(f[2] for f in FAMILIES) + 1, dtype=np.uint64)
+_ODD = mix(_N * _U(0xA24BAED4963EE407)) | _U(1)
+_XOR = mix(_N * _U(0x9FB21C651E98DF25))
+#: Numbers of 40 bits that order a text's picked k-mers, beside 24 bits for the text's place in a slab.
+_PLACE = _U(24)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,50 +120,66 @@ def _in_order(words: np.ndarray) -> np.ndarray:
     return words[:1] + mix(words[1:] + np.arange(1, len(words), dtype=np.uint64)).sum(dtype=np.uint64)
 
 
-def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
-    """(SKETCHES + LOOSE hashes of each text that has words, in rows; words, histogram and short-text keys of each text)."""
+def least_in_order(kmer: np.ndarray, bounds: np.ndarray, keep: int, first: int, many: int) -> np.ndarray:
+    """Hashes of the `keep` least k-mers of each text in their order, in a row for each text, for orders first to first + many.
+
+    bounds: the k-mers before each text, and in all; every text has `keep` at least. Only k-mers whose hash is below a
+    text's share are sorted, about three times as many as are kept; where that gives too few, all are.
+    """
+    sizes = np.diff(bounds)
+    out = np.empty((len(sizes), many), dtype=np.uint64)
+    text = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    share = np.minimum(1.0, (3 * keep + 8) / sizes)
+    limit = np.repeat((share * float(1 << 63)).astype(np.uint64), sizes)  # of half the hash, so 1.0 fits
+    for k in range(many):
+        h = (kmer ^ _XOR[first + k]) * _ODD[first + k]
+        at = np.flatnonzero(h >> _U(1) < limit)
+        found = np.bincount(text[at].astype(np.int64), minlength=len(sizes))
+        if (found < keep).any():
+            at = np.flatnonzero((h >> _U(1) < limit) | (found < keep)[text.astype(np.int64)])
+            found = np.bincount(text[at].astype(np.int64), minlength=len(sizes))
+        at = at[np.argsort(text[at] << (_U(64) - _PLACE) | h[at] >> _PLACE)]
+        start = np.cumsum(found) - found
+        picked = np.sort(at[start[:, None] + np.arange(keep)], axis=1)  # the order of the text
+        sketch = np.full(len(sizes), _ODD[first + k])
+        for j in range(keep):
+            sketch = mix(sketch * _U(3) + kmer[picked[:, j]])
+        out[:, k] = sketch
+    return out
+
+
+def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(number of words, histogram, signed bucket names) of each text."""
     words, word_bounds, histograms = hashed_words(texts)
     n = np.diff(word_bounds)
-    out = np.zeros((len(texts), SKETCHES + LOOSE), dtype=np.uint64)
-    full = np.flatnonzero(n)
-    if not len(full):
-        return out, n, histograms, [[] for _ in texts]
-    kmer, bounds = labelled_kmers(words, word_bounds, WORDS)
-    starts, sizes = bounds[full], np.diff(bounds)[full]
-    for k in range(SKETCHES):
-        h = (kmer ^ _XOR[k]) * _ODD[k]
-        picked = []
-        for _ in range(KEEP):
-            low = np.minimum.reduceat(h, starts)
-            at = np.flatnonzero(h == np.repeat(low, sizes))
-            first = np.searchsorted(at, starts)  # of equal hashes the first in the text
-            at = at[first]
-            picked.append(at)
-            h[at] = _MOST
-        both = np.sort(np.stack(picked), axis=0)  # the order of the text
-        sketch = np.full(len(full), _ODD[k])
-        for at in both:
-            sketch = mix(sketch * _U(3) + kmer[at])
-        out[full, k] = sketch
-    kmer, bounds = labelled_kmers(words, word_bounds, LOOSE_WORDS)
-    starts = bounds[full]
-    for k in range(SKETCHES, SKETCHES + LOOSE):  # a bijection of k-mers, so the least names its k-mer
-        out[full, k] = mix(np.minimum.reduceat((kmer ^ _XOR[k]) * _ODD[k], starts) + _ODD[k])
-    return out, n, histograms, [_short_keys(words[a:b]) if LEAST_EDITED - 1 <= b - a <= FEW else [] for a, b in zip(word_bounds.tolist(), word_bounds[1:].tolist())]
-
-
-def _short_keys(words: np.ndarray) -> list[int]:
+    names: list[list[np.ndarray]] = [[] for _ in texts]
+    first = 0
+    for size, keep, many, most in FAMILIES:
+        mine = np.flatnonzero((n >= size + keep - 1) & ((n <= most) if most else True))
+        if len(mine):
+            kmer, bounds = labelled_kmers(words, word_bounds, size)
+            inside = np.repeat(np.isin(np.arange(len(texts)), mine), np.diff(bounds))
+            sizes = np.diff(bounds)[mine]
+            for t, row in zip(mine.tolist(), least_in_order(kmer[inside], np.r_[0, np.cumsum(sizes)], keep, first, many).view(np.int64)):
+                names[t].append(row)
+        first += many
+    for t in np.flatnonzero((n >= 1) & (n <= FEW)).tolist():
+        names[t].append(_short_keys(words[word_bounds[t] : word_bounds[t + 1]]))
+    return n, histograms, [np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in names]
+
+
+def _short_keys(words: np.ndarray) -> np.ndarray:
     """Signed hashes of a short text's words and, if it has enough, of what is left without one: equal for texts one edit apart."""
     rests = [words] + [np.delete(words, k) for k in range(len(words)) if len(words) >= LEAST_EDITED]
-    return sorted(set(mix(np.concatenate([_in_order(r) for r in rests]) ^ _XOR[0]).view(np.int64).tolist()))
+    return mix(np.concatenate([_in_order(r) for r in rests]) ^ _XOR[0]).view(np.int64)
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slabs(batches, "text", 1_500_000):
-        s, n, h, keys = sketches([t or "" for t in part.column(2).to_pylist()])
-        flat = pa.array(s.view(np.int64).ravel(), pa.int64())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * s.shape[1], pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int32()), lists, pa.array(keys, pa.list_(pa.int64())), pa.array([r.tobytes() for r in h], pa.binary())], ["id", "digest", "n", "sk", "keys", "histogram"])
+        n, h, names = sketches([t or "" for t in part.column(2).to_pylist()])
+        ends = np.r_[0, np.cumsum([len(x) for x in names])]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*names, np.zeros(0, np.int64)]), pa.int64()))
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int32()), lists, pa.array([r.tobytes() for r in h], pa.binary())], ["id", "digest", "n", "sk", "histogram"])
 
 
 def word_ids(a: str, b: str) -> tuple[list[int], list[int]]:
@@ -171,38 +196,43 @@ def word_ids(a: str, b: str) -> tuple[list[int], list[int]]:
 
 
 def banded_distance(x: list[int], y: list[int], most: int) -> int | None:
-    """The edit distance of two sequences if it is at most `most`, by bit-parallel columns; matches outside the band don't count."""
+    """The edit distance of two sequences if it is at most `most`, by bit-parallel columns of the band alone.
+
+    The shorter sequence stands upright. A path of at most `most` edits stays on the diagonals from `above` over the main
+    one to `below` under it, so each column is a window of that many bits which moves down by one row at a time; what lies
+    outside is taken as one worse than its neighbour, which never is too little. The end's diagonal is one bit of the
+    window, and never falls.
+    """
     if len(x) > len(y):
         x, y = y, x
-    m = len(x)
-    if len(y) - m > most:
+    longer = len(y) - len(x)
+    if longer > most:
         return None
-    if not m:
-        return len(y)
-    places: dict[int, int] = {}
-    for k, v in enumerate(x):
-        places[v] = places.get(v, 0) | 1 << k
-    full, high, width = (1 << m) - 1, 1 << m - 1, (1 << 2 * most + 1) - 1
-    pos, neg, score = full, 0, m
-    for j, v in enumerate(y):
-        eq = places.get(v, 0)
-        if eq:
-            eq &= width << j - most if j >= most else width >> most - j
-        xv = eq | neg
-        xh = ((eq & pos) + pos ^ pos | eq) & full
-        ph = neg | full & ~(xh | pos)
-        mh = pos & xh
-        if ph & high:
+    above, below = (most + longer) // 2, (most - longer) // 2
+    size = above + below + 1
+    places: dict[tuple[int, int], int] = {}  # by value and block of `size` rows; rows before the first one are empty
+    for k, v in enumerate(x, above):
+        key = v, k // size
+        places[key] = places.get(key, 0) | 1 << k % size
+    mask, top, end = (1 << size) - 1, 1 << size - 1, 1 << above - longer
+    pos, neg, score = mask ^ ((1 << above) - 1), 0, 0
+    block = turn = 0
+    get = places.get
+    for v in y:
+        eq = (get((v, block), 0) >> turn | get((v, block + 1), 0) << size - turn) & mask
+        zero = ((eq & pos) + pos ^ pos | eq | neg) & mask
+        if not zero & end:
             score += 1
-        elif mh & high:
-            score -= 1
-        if score - (len(y) - 1 - j) > most:  # even if all the rest matched
-            return None
-        ph = (ph << 1 | 1) & full
-        mh = mh << 1 & full
-        pos = mh | full & ~(xv | ph)
-        neg = ph & xv
-    return score if score <= most else None
+            if score > most:
+                return None
+        ph = (neg | mask & ~(zero | pos)) << 1 | 1
+        pos = ((pos & zero) << 1 | mask & ~(zero | ph)) & mask
+        neg = ph & zero
+        pos, neg = pos >> 1 | top, neg >> 1  # the next column's window
+        turn += 1
+        if turn == size:
+            block, turn = block + 1, 0
+    return score
 
 
 def compared(a: str, b: str, threshold: float) -> int | None:
@@ -225,13 +255,11 @@ def _verified(threshold: float):
     return run
 
 
-def _verify(pairs: DataFrame, texts: tuple[DataFrame, DataFrame], threshold: float) -> DataFrame:
-    """a, b, dist of the pairs. texts: (digest, of, text) of all rows, (digest, of, id) of representatives; only texts in pairs move twice."""
+def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """a, b, dist of the pairs. texts: id, text of all that may occur in pairs; only texts in pairs move twice."""
     pairs = cut(pairs, "pairs")  # read for its ids, and again with their texts
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    digests = texts[1].join(wanted, "id", "left_semi")
-    all_ = texts[0]
-    mine = all_.join(digests, (all_["digest"] == digests["digest"]) & all_["of"].eqNullSafe(digests["of"])).dropDuplicates(["id"]).select("id", "text")
+    mine = texts.join(wanted, "id", "left_semi")
     both = pairs.join(mine.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(mine.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(_verified(threshold), "a bigint, b bigint, dist int"), "verified")
 
@@ -241,39 +269,42 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     ship(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), _digest(text).alias("digest"), text.alias("text"))
-    narrow = cut(rows.mapInArrow(_sketched, "id bigint, digest binary, n int, sk array<bigint>, keys array<bigint>, histogram binary"), "sketches")
-    least = narrow.groupBy("digest").agg(F.min("id").alias("least"), F.min_by(F.struct("n", "sk", "keys", "histogram"), F.coalesce("id", F.lit((1 << 63) - 1))).alias("x"))
-    least = cut(least.select("digest", "least", "x.n", "x.sk", "x.keys", "x.histogram"), "distinct")
+    narrow = cut(rows.mapInArrow(_sketched, "id bigint, digest binary, n int, sk array<bigint>, histogram binary"), "sketches")
     # a text is named by its least id; where another text has that id too, or there is none, by a hash of itself
+    least = cut(narrow.groupBy("digest").agg(F.min("id").alias("least")), "least")
     twice = least.groupBy("least").agg(F.count("*").alias("uses")).where("uses > 1 or least is null").select("least", F.lit(True).alias("vague"))
     named = F.when(F.col("least").isNull() | F.col("vague"), F.xxhash64("digest")).otherwise(F.col("least"))
-    reps = least.join(twice, "least", "left").select("digest", "least", named.alias("rep"), "n", "sk", "keys", "histogram")
-    texts = (rows.select("digest", F.col("id").alias("of"), "text"), reps.select("digest", F.col("least").alias("of"), F.col("rep").alias("id")))
+    names = cut(least.join(twice, "least", "left").select("digest", "least", named.alias("rep")), "names")
+    own = F.col("id").eqNullSafe(F.col("least"))
+    reps = narrow.join(names, "digest").where(own).select("rep", "n", "sk", "histogram")  # more than once where a row is repeated
     members = cut(_members(reps), "members")
-    pivots = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("p")).select("bucket", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    stars = cut(members.join(pivots, "bucket").where("rep != pivot"), "stars")
     roots = None
-    if not stars.isEmpty():
-        near = F.abs(F.col("n") - F.col("pivot_n")) <= (1 - threshold) * F.greatest("n", "pivot_n") + 1e-9
-        known = _verify(stars.where(near).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), texts, threshold)
-        links = known.where("dist is not null").select("a", "b")
-        roots = cut(components(links), "roots")
+    if not members.isEmpty():
+        candidates = members.select("rep").distinct()
+        shown = cut(reps.join(candidates, "rep", "left_semi").groupBy("rep").agg(F.first("n").alias("n"), F.first("histogram").alias("histogram")), "histograms")
+        wanted = names.join(candidates, "rep")
+        texts = rows.join(wanted, "digest").where(own).select(F.col("rep").alias("id"), "text")
+        texts = cut(texts.groupBy("id").agg(F.first("text").alias("text")), "texts")
+        first = members.where("rep != pivot").groupBy("rep").agg(F.min("pivot").alias("pivot")).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+        sizes = shown.select(F.col("rep").alias("a"), F.col("n").alias("na")), shown.select(F.col("rep").alias("b"), F.col("n").alias("nb"))
+        near = F.abs(F.col("na") - F.col("nb")) <= (1 - threshold) * F.greatest("na", "nb") + 1e-9
+        known = _verify(first.join(sizes[1], "b").join(sizes[0], "a").where(near).select("a", "b"), texts, threshold)
+        roots = joined(None, known.where("dist is not null").select("a", "b"))
         for width in (FIRST, None):
-            open_ = cut(_open_pairs(members, roots, reps, threshold, width), "open")
+            open_ = cut(_open_pairs(members, roots, shown, threshold, width), "open")
             seen = open_.agg(F.count("*").alias("n"), F.bool_or("more").alias("more")).first()
             if not seen["n"]:
                 break
             found = _verify(open_.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), texts, threshold)
             known = known.union(found)
-            if not found.where("dist is not null").isEmpty():
-                roots = cut(components(known.where("dist is not null").select("a", "b")), "roots")
+            roots = joined(roots, found.where("dist is not null").select("a", "b"))
             if not seen["more"]:
                 break
-    of_text = reps.select("digest", "least", "rep", "n")
-    of_text = of_text.withColumn("root", F.col("rep")) if roots is None else of_text.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    names = of_text.groupBy("root").agg(F.min("least").alias("class_id"))
-    of_text = of_text.join(names, "root").select("digest", "root", "class_id", "n")
-    out = cut(narrow.select("id", "digest").join(of_text, "digest"), "classes")
+    of_text = names.withColumn("root", F.col("rep")) if roots is None else names.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    of_text = cut(of_text.select("digest", "least", "root"), "roots_of_texts")
+    named = of_text.groupBy("root").agg(F.min("least").alias("class_id"))
+    of_text = of_text.join(cut(named, "names"), "root").select("digest", "root", "class_id")
+    out = cut(narrow.select("id", "digest", "n").join(of_text, "digest"), "classes")
     named = F.col("id").eqNullSafe(F.col("class_id"))
     first = F.row_number().over(Window.partitionBy("root").orderBy("digest")) == 1
     both = out.where(named).withColumn("kept", first).union(out.where(~named).withColumn("kept", F.lit(False)))
@@ -296,25 +327,34 @@ def _digest(text: Column) -> Column:
 
 
 def _members(reps: DataFrame) -> DataFrame:
-    """bucket, rep, n of representatives that share a sketch or a short text's key with another."""
-    all_ = reps.where("n > 0").select("rep", "n", F.explode(F.concat("sk", "keys")).alias("bucket"))
-    shared = all_.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    return all_.join(shared, "bucket", "left_semi")
+    """bucket, rep, n and pivot (the bucket's least) of representatives that share a bucket with another."""
+    all_ = reps.select("rep", "n", F.explode("sk").alias("bucket"))
+    shared = all_.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("high")).where("pivot != high").select("bucket", "pivot")
+    return all_.join(shared, "bucket").select("bucket", "rep", "n", "pivot")
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame, reps: DataFrame, threshold: float, width: int | None) -> DataFrame:
+def _open_pairs(members: DataFrame, roots: DataFrame, shown: DataFrame, threshold: float, width: int | None) -> DataFrame:
     """a, b, more: pairs (a < b) of a bucket that are not connected and that histograms leave open, from buckets in parts.
 
-    Of each member's in a bucket the `width` with the least bounds (all for None); more: others are left.
+    Of each member's in a bucket the `width` with the least bounds (all for None); more: others are left. The members of a
+    bucket's largest class are dealt into blocks 0 to c, all others into blocks c + 1 and on; a tile is any two blocks but
+    two of the former.
     """
     root = roots.select(F.col("node").alias("rep"), "root")
-    labelled = members.join(root, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    parts = labelled.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    blocks = parts.select("bucket", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
-    placed = labelled.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    meets = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "rep", "n", "root")
+    labelled = cut(members.select("bucket", "rep").distinct().join(root, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "labelled")
+    parts = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    mixed = cut(labelled.join(parts, "bucket"), "mixed")
+    by_root = mixed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+    by_bucket = by_root.groupBy("bucket").agg(F.max_by("root", "size").alias("main"), F.max("size").alias("inner"), F.sum("size").alias("size"))
+    count = lambda c: F.ceil(c / TILE).cast("int")
+    blocks = by_bucket.select("bucket", "main", count(F.col("inner")).alias("of_main"), count(F.col("size") - F.col("inner")).alias("of_rest"))
+    inside = F.col("root") == F.col("main")
+    at = F.pmod(F.xxhash64("rep"), F.when(inside, F.col("of_main")).otherwise(F.col("of_rest"))).cast("int")
+    placed = mixed.join(blocks, "bucket").withColumn("block", at + F.when(inside, 0).otherwise(F.col("of_main")))
+    others = F.sequence(F.when(inside, F.col("of_main")).otherwise(0), F.col("of_main") + F.col("of_rest") - 1)
+    meets = placed.withColumn("with", F.explode(others)).select("bucket", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "rep", "root")
     tasks = int(meets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work follows a tile's pairs, not its bytes
-    full = meets.join(reps.select("rep", "histogram"), "rep").repartition(tasks, "bucket", "one", "two")
+    full = meets.join(shown, "rep").repartition(tasks, "bucket", "one", "two")
     return full.groupBy("bucket", "one", "two").applyInPandas(_bounded(threshold, width), "a bigint, b bigint, more boolean").distinct()
 
 

@@ -37,7 +37,7 @@ def slow_distance(x, y):
 
 def test_banded_distance():
     r = random.Random(3)
-    for _ in range(3000):
+    for _ in range(6000):
         x = [r.randrange(6) for _ in range(r.randint(0, 14))]
         y = [v for v in x if r.random() > 0.15]
         for _ in range(r.randint(0, 3)):
@@ -50,17 +50,33 @@ def test_sketches_depend_on_order_and_not_on_the_batch():
     r = random.Random(4)
     words = ["".join(r.choice("abcdef") for _ in range(5)) for _ in range(60)]
     text, turned = " ".join(words), " ".join(words[30:] + words[:30])
-    alone, many = o.sketches([text])[0][0], o.sketches(["x y", "", turned, text])[0]
-    assert (alone == many[3]).all()
-    same = (many[2] == many[3]).mean()
-    assert 0.2 < same < 0.8  # nearly all k-mers are shared; pairs that straddle the turn have another order
+    alone, many = o.sketches([text])[2][0], o.sketches(["x y", "", turned, text])[2]
+    assert (alone == many[3]).all() and not len(many[1])
+    same = np.isin(many[2], many[3]).mean()
+    assert same < 0.3  # all words are shared; only those on one side of the turn keep their order
+
+
+@pytest.mark.parametrize("keep", [1, 3, 7])
+def test_least_in_order_equals_a_full_sort(keep):
+    """Whatever share of the k-mers is sorted, the `keep` least of all are picked."""
+    r = np.random.default_rng(keep)
+    sizes = r.integers(keep, 400, 200)
+    kmer = r.integers(0, 1 << 63, sizes.sum()).astype(np.uint64)
+    bounds = np.r_[0, np.cumsum(sizes)]
+    got = o.least_in_order(kmer, bounds, keep, 0, 5)
+    for t in range(len(sizes)):
+        own = kmer[bounds[t] : bounds[t + 1]]
+        for k in range(5):
+            picked = np.sort(np.argsort((own ^ o._XOR[k]) * o._ODD[k])[:keep])
+            want = o._ODD[k : k + 1].copy()
+            for j in picked:
+                want = o.mix(want * np.uint64(3) + own[j : j + 1])
+            assert got[t, k] == want[0]
 
 
 def met(a, b):
     """Whether each of the texts `a` meets its counterpart in `b` in a bucket."""
-    one, two = o.sketches(a), o.sketches(b)
-    keys = zip(one[3], two[3]) if len(one) > 3 else [((), ())] * len(a)
-    return np.array([bool((x == y).any() or set(k) & set(m)) for x, y, (k, m) in zip(one[0], two[0], keys)])
+    return np.array([bool(np.isin(x, y).any()) for x, y in zip(o.sketches(a)[2], o.sketches(b)[2])])
 
 
 def edited(r, n, places):
@@ -68,12 +84,12 @@ def edited(r, n, places):
     return " ".join(words), " ".join(f"n{r.randrange(10**9)}" if k in places else w for k, w in enumerate(words))
 
 
-@pytest.mark.parametrize("n, share, even", [(300, 0.2, False), (300, 0.18, True), (300, 0.2, True), (200, 0.15, True), (50, 0.2, True), (15, 0.2, True), (10, 0.2, False)])
+@pytest.mark.parametrize("n, share, even", [(600, 0.2, True), (300, 0.2, False), (300, 0.18, True), (300, 0.2, True), (200, 0.15, True), (61, 0.2, True), (50, 0.2, True), (15, 0.2, True), (10, 0.2, False)])
 def test_pairs_at_the_threshold_meet(n, share, even):
     r = random.Random(6)
     d = round(n * share)
     pairs = [edited(r, n, {int((k + 0.5) * n / d) for k in range(d)} if even else set(r.sample(range(n), d))) for _ in range(400)]
-    assert met(*zip(*pairs)).mean() >= 0.98  # expected: 0.99 or more
+    assert met(*zip(*pairs)).mean() >= 0.97  # expected: 0.985 or more
 
 
 def test_short_texts_one_edit_apart_meet(spark):
@@ -89,6 +105,43 @@ def test_short_texts_one_edit_apart_meet(spark):
     assert {x.class_id for x in o.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
 
 
+def test_links_at_the_threshold_are_found_among_all_pairs(spark):
+    """Families of copies with 15 to 20 % of their words edited, moved or dropped: links found against all that exist."""
+    r = random.Random(8)
+    texts = []
+    for _ in range(60):
+        words = [f"w{r.randrange(900)}" for _ in range(r.choice((30, 90, 250)))]
+        texts.append(" ".join(words))
+        for _ in range(2):
+            other = list(words)
+            for _ in range(int(len(words) * r.uniform(0.15, 0.2))):
+                k = r.randrange(len(other))
+                if r.random() < 0.5:
+                    other[k] = f"n{r.randrange(900)}"
+                elif r.random() < 0.5:
+                    del other[k]
+                else:
+                    other.insert(k, f"n{r.randrange(900)}")
+            texts.append(" ".join(other))
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if o.compared(texts[j], texts[i], 0.8) is not None]
+    out = {x.id: x.class_id for x in o.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(links) > 60 and np.mean([out[i] == out[j] for i, j in links]) >= 0.97
+    root = by_search(len(texts), links)
+    assert all(root[i] == root[out[i]] for i in range(len(texts)))  # and nothing else is joined
+
+
+def test_a_large_class_and_strangers_in_its_buckets(spark, monkeypatch):
+    """Blocks of four rows: a bucket's largest class is dealt apart from the strangers, and every pair across is compared."""
+    monkeypatch.setattr(o, "TILE", 4)
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(30)]
+    far = [w if r.random() > 0.3 else f"y{k}" for k, w in enumerate(base)]
+    texts += [" ".join(far[:k] + [f"z{k}"] + far[k + 1 :]) for k in range(10)]
+    out = {x.id: x.class_id for x in o.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == dict(enumerate(expected_classes(texts)))
+
+
 def family(r, n, edits):
     words = [f"w{r.randrange(4000)}" for _ in range(n)]
     out = [list(words)]
