@@ -19,9 +19,10 @@ Candidates are verified by banded alignment of their words: similarity is 1 - d
 distance, computed bit-parallel in a window that moves along the band which the threshold allows. Links join documents
 into classes.
 
-Equal texts are one representative from the start. A representative is compared with one other first, the least that it
-meets in any bucket, so a class of thousands of near copies costs about as many comparisons as it has members and as
-many links. In buckets where some member is not connected after that, the rest is done exactly: members' word histograms,
+Equal texts are one representative from the start. A bucket's least member is its pivot. Representatives are compared
+with one pivot in each of STARS rounds, the least that they meet and are not connected with, then with all such pivots
+that are left; so a class of thousands of near copies costs about as many comparisons as it has members, and as many
+links. In buckets where some member is not connected after that, the rest is done exactly: members' word histograms,
 in tiles of bounded size, give a lower bound of d for every pair that isn't connected, and the pairs that it leaves open
 are aligned as well, each member's FIRST of least bounds before all others: most members are connected by then, and need
 no more alignments. No pair that meets is lost, and no task gathers a bucket. Members of a bucket's largest class meet
@@ -37,9 +38,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,16 +56,19 @@ FAMILIES = ((5, 2, 16, 0), (1, 7, 80, 0), (1, 4, 32, SHORT))
 #: Texts of at most so many words meet by what is left without one of them, from the least that the threshold leaves an edit.
 FEW, LEAST_EDITED = 9, 5
 THRESHOLD = 0.8
-#: Cells of a word histogram (the first few for short words) and of a folded one that is compared first, and members of a tile's block, about.
-CELLS, SHORT_CELLS, COARSE, TILE = 256, 32, 64, 4096
+#: Cells of a word histogram (the first few for short words) and of folded ones that are compared first, and members of a tile's block, about.
+CELLS, SHORT_CELLS, COARSE, TILE = 256, 32, (16, 64), 4096
+#: Rounds in which a text is compared with one pivot; the last takes all that are left.
+STARS = 3
 #: Open pairs of a member that are aligned in a first round; all that are open still follow in a second.
 FIRST = 4
+#: Tiles of at most so many rows are compared together; rows that a worker holds at least before it does so.
+FEW_ROWS, HELD_ROWS = 16, 8192
 _U = np.uint64
 _N = np.arange(1, sum(f[2] for f in FAMILIES) + 1, dtype=np.uint64)
 _ODD = mix(_N * _U(0xA24BAED4963EE407)) | _U(1)
 _XOR = mix(_N * _U(0x9FB21C651E98DF25))
-#: Numbers of 40 bits that order a text's picked k-mers, beside 24 bits for the text's place in a slab.
-_PLACE = _U(24)
+_HALF, _MOST = _U(32), _U(0xFFFFFFFF)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,7 +108,7 @@ def labelled_kmers(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np
         run[a : a + 1] = _in_order(words[a:b])
         inside[a + 1 : b] = False
     kmer, text = mix(run[inside]), text[inside]
-    order = np.lexsort((kmer, text))
+    order = _grouped(kmer, text)
     k, t = kmer[order], text[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
@@ -115,6 +119,24 @@ def labelled_kmers(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np
     return kmer, np.searchsorted(text, np.arange(len(n) + 1))
 
 
+def _grouped(kmer: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Positions in an order that brings a text's equal k-mers together, as they follow each other in the text.
+
+    Sorted are numbers, not indices: a hash of text and k-mer, the position in the low bits. Where two different k-mers
+    have one hash (a few slabs in a thousand), indices are sorted by text and k-mer themselves.
+    """
+    low = _U(max(len(kmer), 2).bit_length())
+    mark = (_U(1) << low) - _U(1)
+    if low <= 24:
+        key = np.sort(mix(kmer + text.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) & ~mark | np.arange(len(kmer), dtype=np.uint64))
+        order = (key & mark).astype(np.int64)
+        near = np.flatnonzero(key[1:] >> low == key[:-1] >> low)
+        a, b = order[near], order[near + 1]
+        if ((kmer[a] == kmer[b]) & (text[a] == text[b])).all():
+            return order
+    return np.lexsort((kmer, text))
+
+
 def _in_order(words: np.ndarray) -> np.ndarray:
     """One hash of some words in their order."""
     return words[:1] + mix(words[1:] + np.arange(1, len(words), dtype=np.uint64)).sum(dtype=np.uint64)
@@ -123,22 +145,26 @@ def _in_order(words: np.ndarray) -> np.ndarray:
 def least_in_order(kmer: np.ndarray, bounds: np.ndarray, keep: int, first: int, many: int) -> np.ndarray:
     """Hashes of the `keep` least k-mers of each text in their order, in a row for each text, for orders first to first + many.
 
-    bounds: the k-mers before each text, and in all; every text has `keep` at least. Only k-mers whose hash is below a
-    text's share are sorted, about three times as many as are kept; where that gives too few, all are.
+    bounds: the k-mers before each text, and in all; every text has `keep` at least. Orders compare 32 bits (of equal ones
+    that which comes first is less). Only k-mers below a text's share are sorted, about three times as many as are kept;
+    where that gives too few, all are.
     """
     sizes = np.diff(bounds)
     out = np.empty((len(sizes), many), dtype=np.uint64)
-    text = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    text = np.repeat(np.arange(len(sizes)), sizes)
     share = np.minimum(1.0, (3 * keep + 8) / sizes)
-    limit = np.repeat((share * float(1 << 63)).astype(np.uint64), sizes)  # of half the hash, so 1.0 fits
+    limit = np.repeat((share * float(_MOST)).astype(np.uint32), sizes)
+    half, h, under = (kmer >> _HALF).astype(np.uint32), np.empty(len(kmer), np.uint32), np.empty(len(kmer), bool)
     for k in range(many):
-        h = (kmer ^ _XOR[first + k]) * _ODD[first + k]
-        at = np.flatnonzero(h >> _U(1) < limit)
-        found = np.bincount(text[at].astype(np.int64), minlength=len(sizes))
+        np.bitwise_xor(half, np.uint32(_XOR[first + k] >> _HALF), out=h)
+        np.multiply(h, np.uint32(_ODD[first + k] & _MOST), out=h)
+        np.less_equal(h, limit, out=under)
+        at = np.flatnonzero(under)
+        found = np.bincount(text[at], minlength=len(sizes))
         if (found < keep).any():
-            at = np.flatnonzero((h >> _U(1) < limit) | (found < keep)[text.astype(np.int64)])
-            found = np.bincount(text[at].astype(np.int64), minlength=len(sizes))
-        at = at[np.argsort(text[at] << (_U(64) - _PLACE) | h[at] >> _PLACE)]
+            at = np.flatnonzero(under | (found < keep)[text])
+            found = np.bincount(text[at], minlength=len(sizes))
+        at = at[_sorted_within(text[at], h[at])]
         start = np.cumsum(found) - found
         picked = np.sort(at[start[:, None] + np.arange(keep)], axis=1)  # the order of the text
         sketch = np.full(len(sizes), _ODD[first + k])
@@ -148,16 +174,27 @@ def least_in_order(kmer: np.ndarray, bounds: np.ndarray, keep: int, first: int,
     return out
 
 
+def _sorted_within(text: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Indices by text, then by 32-bit hash, then by position; `text` doesn't fall. Sorts numbers, not indices, where they fit."""
+    low = max(len(text), 2).bit_length()
+    if low + 32 + int(text[-1]).bit_length() > 64:
+        return np.lexsort((h, text))
+    key = text.astype(np.uint64) << _U(32 + low) | h.astype(np.uint64) << _U(low) | np.arange(len(text), dtype=np.uint64)
+    return (np.sort(key) & (_U(1) << _U(low)) - _U(1)).astype(np.int64)
+
+
 def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(number of words, histogram, signed bucket names) of each text."""
     words, word_bounds, histograms = hashed_words(texts)
     n = np.diff(word_bounds)
     names: list[list[np.ndarray]] = [[] for _ in texts]
-    first = 0
+    first, known = 0, {}
     for size, keep, many, most in FAMILIES:
         mine = np.flatnonzero((n >= size + keep - 1) & ((n <= most) if most else True))
         if len(mine):
-            kmer, bounds = labelled_kmers(words, word_bounds, size)
+            if size not in known:
+                known[size] = labelled_kmers(words, word_bounds, size)
+            kmer, bounds = known[size]
             inside = np.repeat(np.isin(np.arange(len(texts)), mine), np.diff(bounds))
             sizes = np.diff(bounds)[mine]
             for t, row in zip(mine.tolist(), least_in_order(kmer[inside], np.r_[0, np.cumsum(sizes)], keep, first, many).view(np.int64)):
@@ -285,11 +322,14 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
         wanted = names.join(candidates, "rep")
         texts = rows.join(wanted, "digest").where(own).select(F.col("rep").alias("id"), "text")
         texts = cut(texts.groupBy("id").agg(F.first("text").alias("text")), "texts")
-        first = members.where("rep != pivot").groupBy("rep").agg(F.min("pivot").alias("pivot")).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-        sizes = shown.select(F.col("rep").alias("a"), F.col("n").alias("na")), shown.select(F.col("rep").alias("b"), F.col("n").alias("nb"))
-        near = F.abs(F.col("na") - F.col("nb")) <= (1 - threshold) * F.greatest("na", "nb") + 1e-9
-        known = _verify(first.join(sizes[1], "b").join(sizes[0], "a").where(near).select("a", "b"), texts, threshold)
-        roots = joined(None, known.where("dist is not null").select("a", "b"))
+        stars = cut(_stars(members, shown, threshold), "stars")
+        known = None
+        for k in range(STARS):
+            mine = stars if known is None else _apart(stars.join(known.select("a", "b"), ["a", "b"], "left_anti"), roots)
+            pairs = mine.select("a", "b") if k + 1 == STARS else mine.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            found = _verify(pairs, texts, threshold)
+            known = found if known is None else known.union(found)
+            roots = joined(roots, found.where("dist is not null").select("a", "b"))
         for width in (FIRST, None):
             open_ = cut(_open_pairs(members, roots, shown, threshold, width), "open")
             seen = open_.agg(F.count("*").alias("n"), F.bool_or("more").alias("more")).first()
@@ -333,6 +373,21 @@ def _members(reps: DataFrame) -> DataFrame:
     return all_.join(shared, "bucket").select("bucket", "rep", "n", "pivot")
 
 
+def _stars(members: DataFrame, shown: DataFrame, threshold: float) -> DataFrame:
+    """a, b: each pivot and representative that share a bucket, if their lengths allow a link."""
+    sizes = shown.select(F.col("rep").alias("a"), F.col("n").alias("na")), shown.select(F.col("rep").alias("b"), F.col("n").alias("nb"))
+    pairs = members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    near = F.abs(F.col("na") - F.col("nb")) <= (1 - threshold) * F.greatest("na", "nb") + 1e-9
+    return pairs.join(sizes[1], "b").join(sizes[0], "a").where(near).select("a", "b")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not connected."""
+    of = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
+    both = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
+    return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def _open_pairs(members: DataFrame, roots: DataFrame, shown: DataFrame, threshold: float, width: int | None) -> DataFrame:
     """a, b, more: pairs (a < b) of a bucket that are not connected and that histograms leave open, from buckets in parts.
 
@@ -354,38 +409,119 @@ def _open_pairs(members: DataFrame, roots: DataFrame, shown: DataFrame, threshol
     others = F.sequence(F.when(inside, F.col("of_main")).otherwise(0), F.col("of_main") + F.col("of_rest") - 1)
     meets = placed.withColumn("with", F.explode(others)).select("bucket", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "rep", "root")
     tasks = int(meets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work follows a tile's pairs, not its bytes
-    full = meets.join(shown, "rep").repartition(tasks, "bucket", "one", "two")
-    return full.groupBy("bucket", "one", "two").applyInPandas(_bounded(threshold, width), "a bigint, b bigint, more boolean").distinct()
+    full = meets.join(shown, "rep").repartition(tasks, "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "n")
+    return full.select("bucket", "one", "two", "block", "rep", "root", "n", "histogram").mapInArrow(_bounded(threshold, width), "a bigint, b bigint, more boolean").distinct()
+
+
+@dataclass
+class _Rows:
+    """Rows of whole tiles, in the order of tiles and of words: their tile, block, name, root, number of words, histogram."""
+
+    tile: np.ndarray
+    block: np.ndarray
+    rep: np.ndarray
+    root: np.ndarray
+    n: np.ndarray
+    histogram: np.ndarray
+    within: np.ndarray  # whether the tile is a block with itself
+
+    def __post_init__(self):
+        # folded cells give a weaker bound, and leave few pairs to the others
+        self.cells = [self.histogram.reshape(len(self.histogram), k, -1).sum(2, dtype=np.int16) for k in COARSE] + [self.histogram]
+
+    def slack(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+        """How many edits the threshold allows."""
+        return (1 - threshold) * np.maximum(self.n[a], self.n[b]) + 1e-9
+
+    def least(self, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, least number of edits) of those pairs that the histograms leave open: the surplus of words on either side."""
+        low = np.zeros(len(a), np.int64)
+        for h in self.cells:
+            low = np.empty(len(a), np.int64)
+            for k in range(0, len(a), 16_384):
+                gap = h[b[k : k + 16_384]] - h[a[k : k + 16_384]]
+                up = np.maximum(gap, 0).sum(1)
+                low[k : k + 16_384] = np.maximum(up, up - gap.sum(1))
+            keep = low <= self.slack(a, b, threshold)
+            a, b, low = a[keep], b[keep], low[keep]
+        return a, b, low
 
 
 def _bounded(threshold: float, width: int | None):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("n", kind="stable")
-        rep, n, root, block = (rows[c].to_numpy() for c in ("rep", "n", "root", "block"))
-        hist = np.frombuffer(b"".join(rows["histogram"]), np.uint8).reshape(-1, CELLS).astype(np.int16)
-        folded = hist.reshape(len(hist), COARSE, -1).sum(2, dtype=np.int16)
-        a, b, more = [], [], []
-        names, sizes = np.unique(root, return_counts=True)
-        most_common = names[sizes.argmax()]  # its members need no turn of their own: every open pair has another member
-        for f in np.flatnonzero(root != most_common):
-            # d is at least the surplus of words on either side
-            lo = np.searchsorted(n, threshold * n[f] - 1e-9, side="left")
-            hi = np.searchsorted(n, n[f] / threshold + 1e-9, side="right")
-            at = np.arange(lo, hi)
-            at = at[(root[at] != root[f]) & ((block[at] != block[f]) if key[1] != key[2] else True) & ((root[at] == most_common) | (at > f))]
-            if not len(at):
-                continue
-            for h in (folded, hist):  # folded cells give a weaker bound, and leave few pairs to the others
-                gap = h[at] - h[f]
-                up = np.maximum(gap, 0).sum(1)
-                low = np.maximum(up, up - gap.sum(1))
-                open_ = low <= (1 - threshold) * np.maximum(n[at], n[f]) + 1e-9
-                at, low = at[open_], low[open_]
-            best = at if width is None or len(at) <= width else at[np.argsort(low, kind="stable")[:width]]
-            a.append(np.minimum(rep[best], rep[f]))
-            b.append(np.maximum(rep[best], rep[f]))
-            more.append(np.full(len(best), len(best) < len(at)))
-        columns = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((a, np.int64), (b, np.int64), (more, bool))]
-        return pd.DataFrame(dict(zip(("a", "b", "more"), columns)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_tiles(batches):
+            starts = np.flatnonzero(np.r_[True, rows.tile[1:] != rows.tile[:-1]])
+            ends = np.r_[starts[1:], len(rows.tile)]
+            parts = [_in_small_tiles(rows, starts, ends, threshold)]
+            parts += [_in_tile(rows, a, b, threshold) for a, b in zip(starts.tolist(), ends.tolist()) if b - a > FEW_ROWS]
+            a, b, low = (np.concatenate(x) for x in zip(*parts))
+            first = np.ones(len(a), bool) if width is None else _is_first(a, low, width) | _is_first(b, low, width)
+            one, two = rows.rep[a[first]], rows.rep[b[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(np.full(len(one), not first.all()))], ["a", "b", "more"])
 
     return run
+
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
+    """The rows of a partition, which is ordered by tiles, in lots of about HELD_ROWS; a tile is never parted."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+
+    def made(columns: list[np.ndarray]) -> _Rows:
+        bucket, one, two, block, rep, root, n, histogram = columns
+        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
+        return _Rows(np.cumsum(new), block, rep, root, n, histogram, one == two)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        hist = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        held.append([*[batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)], hist])
+        size += batch.num_rows
+        if size >= HELD_ROWS:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            inner = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)) + 1
+            if len(inner):
+                yield made([c[: inner[-1]] for c in columns])
+                columns = [c[inner[-1] :] for c in columns]
+            held, size = [columns], len(columns[0])
+    if size:
+        yield made([np.concatenate(c) for c in zip(*held)])
+
+
+def _in_small_tiles(rows: _Rows, starts: np.ndarray, ends: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, bound) of open pairs in all tiles of at most FEW_ROWS rows at once."""
+    sizes = ends - starts
+    end = np.repeat(ends, sizes)
+    after = np.where(np.repeat(sizes <= FEW_ROWS, sizes), end - np.arange(len(end)) - 1, 0)
+    a = np.repeat(np.arange(len(end)), after)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after) - after, after)
+    keep = (rows.root[a] != rows.root[b]) & (rows.within[a] | (rows.block[a] != rows.block[b])) & (np.abs(rows.n[a] - rows.n[b]) <= rows.slack(a, b, threshold))
+    return rows.least(a[keep], b[keep], threshold)
+
+
+def _in_tile(rows: _Rows, start: int, end: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, bound) of open pairs in one tile, row by row; rows of its largest class need no turn, as every pair has another."""
+    n, root, block = rows.n[start:end], rows.root[start:end], rows.block[start:end]
+    names, sizes = np.unique(root, return_counts=True)
+    main = names[sizes.argmax()]
+    found = [(np.zeros(0, np.int64),) * 3]
+    for f in np.flatnonzero(root != main):
+        lo = np.searchsorted(n, threshold * n[f] - 1e-9, side="left")
+        hi = np.searchsorted(n, n[f] / threshold + 1e-9, side="right")
+        at = np.arange(lo, hi)
+        at = at[(root[at] != root[f]) & (rows.within[start] | (block[at] != block[f])) & ((root[at] == main) | (at > f))]
+        if len(at):
+            found.append(rows.least(np.full(len(at), start + f), start + at, threshold))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _is_first(row: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
+    """Whether each pair is one of the `width` least of its row."""
+    order = np.lexsort((low, row))
+    new = np.r_[True, row[order][1:] != row[order][:-1]] if len(row) else np.zeros(0, bool)
+    at = np.arange(len(row))
+    rank = at - np.maximum.accumulate(np.where(new, at, 0)) if len(row) else at
+    out = np.empty(len(row), bool)
+    out[order] = rank < width
+    return out

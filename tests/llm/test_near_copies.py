@@ -67,13 +67,28 @@ def test_least_in_order_equals_a_full_sort(keep):
     for t in range(len(sizes)):
         own = kmer[bounds[t] : bounds[t + 1]]
         for k in range(5):
-            picked = np.sort(np.argsort((own ^ o._XOR[k]) * o._ODD[k])[:keep])
+            order = ((own >> np.uint64(32)) ^ (o._XOR[k] >> np.uint64(32))) * (o._ODD[k] & np.uint64(0xFFFFFFFF)) & np.uint64(0xFFFFFFFF)
+            picked = np.sort(np.argsort(order, kind="stable")[:keep])
             want = o._ODD[k : k + 1].copy()
             for j in picked:
                 want = o.mix(want * np.uint64(3) + own[j : j + 1])
             assert got[t, k] == want[0]
 
 
+def test_repeated_kmers_are_numbered_in_the_order_of_the_text(monkeypatch):
+    r = np.random.default_rng(1)
+    words = r.integers(0, 40, 5000).astype(np.uint64)
+    bounds = np.r_[0, np.sort(r.integers(0, 5000, 30)), 5000]
+    for size in (1, 2):
+        got = o.labelled_kmers(words, bounds, size)
+        monkeypatch.setattr(o, "_grouped", lambda k, t: np.lexsort((k, t)))
+        want = o.labelled_kmers(words, bounds, size)
+        monkeypatch.undo()
+        assert all((x == y).all() for x, y in zip(got, want))
+        for a, b in zip(got[1], got[1][1:]):
+            assert len(set(got[0][a:b].tolist())) == b - a
+
+
 def met(a, b):
     """Whether each of the texts `a` meets its counterpart in `b` in a bucket."""
     return np.array([bool(np.isin(x, y).any()) for x, y in zip(o.sketches(a)[2], o.sketches(b)[2])])
@@ -226,3 +241,59 @@ def test_vector_links_equal_brute_force(spark, vectors, tile):
         mine = [ids[k] for k in range(len(ids)) if root[k] == root[i] and ids[k] is not None]
         assert (out[vid].n_links, out[vid].component_id, out[vid].kept) == (sum(i in x for x in links), min(mine), vid == min(mine))
     assert embed_dedup.link_vectors(df.limit(0)).count() == 0
+
+
+def test_rows_without_id_or_of_equal_id_are_told_apart_by_their_vectors(spark):
+    """An id under two labels, an id with two vectors, groups of rows without ids, repeated rows."""
+    rows = [
+        (None, [1.0, 0.0], 1),
+        (5, [1.0, 0.01], 1),
+        (9, [0.0, 1.0], 1),
+        (9, [0.0, 1.0], 2),
+        (8, [0.01, 1.0], 2),
+        (7, [-1.0, 0.0], 2),
+        (7, [0.0, -1.0], 2),
+        (6, [0.0, -2.0], 2),
+        (None, [1.0, 1.0, 0.0], 3),
+        (None, [2.0, 2.0, 0.0], 3),
+        (None, [2.0, 2.0, 0.0], 3),
+        (4, [1.0, 2.0], 4),
+        (4, [1.0, 2.0], 4),
+        (None, None, 4),
+        (3, [1.0, 0.0], None),
+    ]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    out = sorted(map(tuple, embed_dedup.link_vectors(df).collect()), key=key)
+
+    def linked(a, b):
+        if a[1] is None or b[1] is None or a[2] is None or a[2] != b[2] or len(a[1]) != len(b[1]):
+            return False
+        x, y = np.array(a[1]), np.array(b[1])
+        return x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98
+
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if linked(rows[i], rows[j])]
+    root = by_search(len(rows), links)
+    want = []
+    for i, (vid, _, _) in enumerate(rows):
+        name = min((rows[k][0] for k in range(len(rows)) if root[k] == root[i] and rows[k][0] is not None), default=None)
+        want.append((vid, sum(i in x for x in links), name, vid is not None and vid == name))
+    assert out == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("tile, strip", [(16, 8), (300, 64)])
+def test_blocks_in_the_first_axis_order_lose_no_link(spark, monkeypatch, tile, strip):
+    """Small blocks and strips over vectors that spread along the axis, with one cell that many share."""
+    monkeypatch.setattr(embed_dedup, "STRIP", strip)
+    r = np.random.default_rng(3)
+    base = r.normal(size=(60, 6))
+    rows = [(k, [float(x) for x in base[r.integers(60)] + r.normal(size=6) * r.choice([0.01, 0.1, 0.3])], k % 2) for k in range(600)]
+    rows += [(1000 + k, [float(x) for x in base[0] + r.normal(size=6) * 1e-3], 0) for k in range(100)]
+    out = {x.vec_id: (x.n_links, x.component_id) for x in embed_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tile=tile).collect()}
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    label = np.array([x[2] for x in rows])
+    hit = (unit @ unit.T >= 0.98) & (label[:, None] == label[None])
+    links = [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(hit, 1)))]
+    root = embed_dedup._spanning(len(rows), *map(np.array, zip(*links)))
+    assert out == {rows[k][0]: (int(hit[k].sum()) - 1, rows[root[k]][0]) for k in range(len(rows))}
