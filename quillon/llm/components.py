@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillon.runtime import cut, forget
@@ -16,24 +16,29 @@ def components(edges: DataFrame) -> DataFrame:
     the driver sees its row count and checksum alone. Minimums are taken map-side, so a node of many links is no hot key.
     Callers give few links for each node (a node's links to one component are one), as all of them are dealt each round.
     """
-    stars = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
+    stars, state = _told(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        last, stars = stars, cut(small, "links")
-        forget(last)
-        seen = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (seen["n"], seen["s"]) == state:
+        before = stars, state
+        stars, state = _told(small)
+        forget(before[0])
+        if state == before[1]:
             break
-        state = (seen["n"], seen["s"])
     roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _told(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links, written, and their number and checksum, observed as they are."""
+    seen = Observation()
+    out = cut(links.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")), "links")
+    return out, (seen.get["n"], seen.get["s"])
+
+
 def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, root) after `links` (a, b) are added to `roots`: only the roots that links connect are searched anew.
 

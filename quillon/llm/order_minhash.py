@@ -42,7 +42,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,9 +57,9 @@ FAMILIES = ((5, 2, 16, 0), (1, 7, 80, 0), (1, 4, 32, SHORT))
 FEW, LEAST_EDITED = 9, 5
 THRESHOLD = 0.8
 #: Cells of a word histogram (the first few for short words) and of folded ones that are compared first, and members of a tile's block, about.
-CELLS, SHORT_CELLS, COARSE, TILE = 256, 32, (16, 64), 4096
+CELLS, SHORT_CELLS, COARSE, TILE = 1024, 128, (16, 64, 256), 4096
 #: Rounds in which a text is compared with one pivot; the last takes all that are left.
-STARS = 3
+STARS = 2
 #: Open pairs of a member that are aligned in a first round; all that are open still follow in a second.
 FIRST = 4
 #: Tiles of at most so many rows are compared together; rows that a worker holds at least before it does so.
@@ -90,7 +90,11 @@ def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = span_hashes(data, starts, ends)
     text = np.repeat(np.arange(len(texts)), np.diff(bounds))
     cell = np.where(ends - starts < 5, words % _U(SHORT_CELLS), _U(SHORT_CELLS) + words % _U(CELLS - SHORT_CELLS)).astype(np.int64)
-    histograms = np.minimum(np.bincount(text * CELLS + cell, minlength=len(texts) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
+    histograms = np.empty((len(texts), CELLS), np.uint8)
+    for k in range(0, len(texts), 2048):  # whole numbers for some texts at a time
+        some = slice(bounds[k], bounds[min(k + 2048, len(texts))])
+        part = histograms[k : k + 2048]
+        part[:] = np.minimum(np.bincount((text[some] - k) * CELLS + cell[some], minlength=part.size), 255).reshape(part.shape)
     return words, bounds, histograms
 
 
@@ -293,11 +297,9 @@ def _verified(threshold: float):
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """a, b, dist of the pairs. texts: id, text of all that may occur in pairs; only texts in pairs move twice."""
-    pairs = cut(pairs, "pairs")  # read for its ids, and again with their texts
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    mine = texts.join(wanted, "id", "left_semi")
-    both = pairs.join(mine.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(mine.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    """a, b, dist of the pairs. texts: id, text of all that may occur in pairs."""
+    one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    both = pairs.join(one, "a").join(two, "b")
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(_verified(threshold), "a bigint, b bigint, dist int"), "verified")
 
 
@@ -330,16 +332,18 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
             found = _verify(pairs, texts, threshold)
             known = found if known is None else known.union(found)
             roots = joined(roots, found.where("dist is not null").select("a", "b"))
+        wide = None
         for width in (FIRST, None):
-            open_ = cut(_open_pairs(members, roots, shown, threshold, width), "open")
-            seen = open_.agg(F.count("*").alias("n"), F.bool_or("more").alias("more")).first()
-            if not seen["n"]:
-                break
-            found = _verify(open_.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), texts, threshold)
-            known = known.union(found)
-            roots = joined(roots, found.where("dist is not null").select("a", "b"))
-            if not seen["more"]:
+            seen = Observation()
+            open_ = _open_pairs(members, roots, shown, threshold, width, wide).observe(seen, F.count("a").alias("n"), F.count("bucket").alias("more"))
+            open_ = cut(open_, "open")
+            if seen.get["n"]:
+                found = _verify(open_.where("a is not null").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), texts, threshold)
+                known = known.union(found)
+                roots = joined(roots, found.where("dist is not null").select("a", "b"))
+            if not seen.get["more"]:
                 break
+            wide = open_.where("bucket is not null").select("bucket").distinct()
     of_text = names.withColumn("root", F.col("rep")) if roots is None else names.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     of_text = cut(of_text.select("digest", "least", "root"), "roots_of_texts")
     named = of_text.groupBy("root").agg(F.min("least").alias("class_id"))
@@ -388,16 +392,20 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame, shown: DataFrame, threshold: float, width: int | None) -> DataFrame:
-    """a, b, more: pairs (a < b) of a bucket that are not connected and that histograms leave open, from buckets in parts.
+def _open_pairs(members: DataFrame, roots: DataFrame, shown: DataFrame, threshold: float, width: int | None, wide: DataFrame | None) -> DataFrame:
+    """a, b: pairs (a < b) of a bucket that are not connected and that histograms leave open, from buckets in parts; and
+    rows of a bucket alone, of those that have more. wide: the only buckets to look at.
 
-    Of each member's in a bucket the `width` with the least bounds (all for None); more: others are left. The members of a
+    Of each member's pairs in a bucket the `width` with the least bounds are given (all for None). The members of a
     bucket's largest class are dealt into blocks 0 to c, all others into blocks c + 1 and on; a tile is any two blocks but
-    two of the former.
+    two of the former. Of buckets with the same members one is looked at.
     """
     root = roots.select(F.col("node").alias("rep"), "root")
-    labelled = cut(members.select("bucket", "rep").distinct().join(root, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "labelled")
-    parts = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    members = members if wide is None else members.join(wide, "bucket", "left_semi")
+    labelled = members.select("bucket", "rep").distinct().join(root, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    sums = [F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("xor"), F.count("*").alias("size")]
+    parts = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), *sums).where("low != high")
+    parts = parts.groupBy("size", "sum", "xor").agg(F.min("bucket").alias("bucket")).select("bucket")
     mixed = cut(labelled.join(parts, "bucket"), "mixed")
     by_root = mixed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
     by_bucket = by_root.groupBy("bucket").agg(F.max_by("root", "size").alias("main"), F.max("size").alias("inner"), F.sum("size").alias("size"))
@@ -410,13 +418,14 @@ def _open_pairs(members: DataFrame, roots: DataFrame, shown: DataFrame, threshol
     meets = placed.withColumn("with", F.explode(others)).select("bucket", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "rep", "root")
     tasks = int(meets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work follows a tile's pairs, not its bytes
     full = meets.join(shown, "rep").repartition(tasks, "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "n")
-    return full.select("bucket", "one", "two", "block", "rep", "root", "n", "histogram").mapInArrow(_bounded(threshold, width), "a bigint, b bigint, more boolean").distinct()
+    return full.select("bucket", "one", "two", "block", "rep", "root", "n", "histogram").mapInArrow(_bounded(threshold, width), "a bigint, b bigint, bucket bigint").distinct()
 
 
 @dataclass
 class _Rows:
-    """Rows of whole tiles, in the order of tiles and of words: their tile, block, name, root, number of words, histogram."""
+    """Rows of whole tiles, in the order of tiles and of words: their bucket, tile, block, name, root, number of words, histogram."""
 
+    bucket: np.ndarray
     tile: np.ndarray
     block: np.ndarray
     rep: np.ndarray
@@ -456,8 +465,10 @@ def _bounded(threshold: float, width: int | None):
             parts += [_in_tile(rows, a, b, threshold) for a, b in zip(starts.tolist(), ends.tolist()) if b - a > FEW_ROWS]
             a, b, low = (np.concatenate(x) for x in zip(*parts))
             first = np.ones(len(a), bool) if width is None else _is_first(a, low, width) | _is_first(b, low, width)
-            one, two = rows.rep[a[first]], rows.rep[b[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(np.full(len(one), not first.all()))], ["a", "b", "more"])
+            one, two, more = rows.rep[a[first]], rows.rep[b[first]], np.unique(rows.bucket[a[~first]])
+            pairs, gap = [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], pa.nulls(len(more), pa.int64())
+            columns = [pa.concat_arrays([pairs[0], gap]), pa.concat_arrays([pairs[1], gap]), pa.concat_arrays([pa.nulls(len(one), pa.int64()), pa.array(more, pa.int64())])]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "bucket"])
 
     return run
 
@@ -470,7 +481,7 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
     def made(columns: list[np.ndarray]) -> _Rows:
         bucket, one, two, block, rep, root, n, histogram = columns
         new = np.r_[True, (bucket[1:] != bucket[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
-        return _Rows(np.cumsum(new), block, rep, root, n, histogram, one == two)
+        return _Rows(bucket, np.cumsum(new), block, rep, root, n, histogram, one == two)
 
     for batch in batches:
         if not batch.num_rows:
