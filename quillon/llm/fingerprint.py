@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.batches import SLAB_BYTES, mix, span_hashes, utf8
@@ -138,25 +138,44 @@ def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's fingerprint, that of its edited text, and their likeness; the edit borrows from the next document.
 
-    Rows are dealt once into blocks of consecutive ids. The first row of each block goes to the block before it as well
-    (a row for each block), so every block knows what follows its last row. Only ids are read to find the blocks.
+    Rows are dealt once into blocks of consecutive ids, and of texts' beginnings where many rows have one id or none. The
+    first row of each block goes to the block before it as well (a row for each block), so every block knows what follows
+    its last row. Only ids and beginnings are read to find the blocks. A row finds its block by halving, in a step for each
+    doubling of their number.
     """
     spark = ship(df.sparkSession)
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    # ids in order, the first six bytes of the text behind them; no id is below all
+    opening = F.conv(F.rpad(F.hex(F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, 6)), 12, "0"), 16, 10)
+    number = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
+    key = (number * F.lit(1 << 48).cast("decimal(15,0)") + opening.cast("decimal(15,0)")).cast("decimal(38,0)")
     ends = rows.agg(F.percentile_approx(key, [k / blocks for k in range(1, blocks)], 10 * blocks).alias("x")).first()["x"] if blocks > 1 else []
-    ends = sorted(set(ends or []), reverse=True)  # at most one for each block
-    limits = F.array(*[F.lit(e).cast("bigint") for e in ends]) if ends else F.array().cast("array<bigint>")
-    block = F.size(F.filter(limits, lambda e: e > key)).cast("int")
-    firsts = [(r["b"], r["k"]) for r in rows.groupBy(block.alias("b")).agg(F.max(key).alias("k")).orderBy("b").collect()]  # a row for each block
+    ends = sorted({int(e) for e in ends or []}, reverse=True)  # at most one for each block
+    block = _passed(key, ends)
+    firsts = [(r["b"], int(r["k"])) for r in rows.groupBy(block.alias("b")).agg(F.max(key).alias("k")).orderBy("b").collect()]  # a row for each block
     if not firsts:
         return spark.createDataFrame([], SCHEMA)
-    before = [firsts[-1][0]] + [b for b, _ in firsts[:-1]]  # the block that each block's first row follows
-    place = F.struct(block.alias("block"), F.lit(0).alias("context"))
-    places = F.array(place)
-    also = F.create_map(*[x for (_, k), b in zip(firsts, before) for x in (F.lit(k).cast("bigint"), F.lit(b))])
-    follows = F.try_element_at(also, key)
-    places = F.when(follows.isNull(), places).otherwise(F.array(place, F.struct(follows.alias("block"), F.lit(1).alias("context"))))
-    dealt = rows.select(F.explode(places).alias("at"), "doc_id", "text").select("at.block", "at.context", "doc_id", "text")
-    return dealt.repartitionById(blocks, "block").sortWithinPartitions("block", "context", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text")).mapInArrow(_followed, SCHEMA)
+    first, before = [10**37] * (len(ends) + 1), [0] * (len(ends) + 1)  # no key is so large: a block without rows
+    for (b, k), (last, _) in zip(firsts, [firsts[-1], *firsts[:-1]]):  # the block that each block's first row follows
+        first[b], before[b] = k, last
+    dealt = rows.withColumn("key", key).withColumn("own", _passed(F.col("key"), ends))
+    is_first = F.col("key") == F.get(_decimals(first), F.col("own"))
+    places = F.when(is_first, F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("context")), F.struct(F.get(F.lit(before), F.col("own")).alias("block"), F.lit(1).alias("context"))))
+    places = F.coalesce(places, F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("context"))))
+    dealt = dealt.select(F.explode(places).alias("at"), "doc_id", "text", "key").select("at.block", "at.context", "doc_id", "text", "key")
+    return dealt.repartitionById(blocks, "block").sortWithinPartitions("block", "context", F.desc("key"), F.desc_nulls_last("text")).drop("key").mapInArrow(_followed, SCHEMA)
+
+
+def _decimals(values: list[int]) -> Column:
+    """One literal array of decimal(38,0)."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<decimal(38,0)>")  # folded once, in the plan
+
+
+def _passed(key: Column, ends: list[int]) -> Column:
+    """How many of the falling `ends` are above the key: by halving, so its work and form grow with the logarithm of their number."""
+    if not ends:
+        return F.lit(0)
+    steps = [1 << k for k in range(len(ends).bit_length() - 1, -1, -1)]
+    limits = _decimals(ends)
+    return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(F.coalesce(F.get(limits, at + step - 1) > key, F.lit(False)), at + step).otherwise(at))
