@@ -7,8 +7,11 @@ to the number of rows (the first shards hold one more where they don't divide),
 
 The walk is done by counts: rows of each cell are counted (CELLS numbers, whatever the number of rows), the driver lets
 whole runs of rows flow round the ring, and the outcome - for each cell the shards that its rows go to, in order of
-their rank inside the cell, and the first slot of each run - is a table of CELLS rows and a few runs more. Ranks are
-taken inside cells, so no task sees more than its cells' rows.
+their rank inside the cell, and the first slot of each run - is a table of CELLS rows and a few runs more. A cell's rows
+are ranked in PARTS parts, dealt by a hash of the whole row and its place in the table, and the parts' counts are added
+up; so rows of one id, or without one, which all are in one cell, are not one task's work.
+
+Sizes, checksums and hashes are Spark's own functions: no row passes through Python.
 
 Defined results: a null text has size 1 and CRC 0, as an empty one; a null id hashes as a value of its own; repeated
 rows each take a slot, in any order among themselves; a table without rows gives none.
@@ -16,11 +19,7 @@ rows each take a slot, in any order among themselves; a table without rows gives
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +30,8 @@ from quillon.runtime import cut, ship
 #: Cells of the ring, and a shard's places on it.
 CELLS = 1 << 14
 PLACES = 128
-_ROW = "id bigint, size bigint, text_crc32 bigint, cell int, within bigint"
+#: Parts that a cell's rows are ranked in.
+PARTS = 64
 
 
 def _mixed(x: int) -> int:
@@ -95,24 +95,16 @@ def walk(counts: np.ndarray, owner: np.ndarray, room: np.ndarray) -> list[tuple[
     return sorted(runs)
 
 
-def _hashed(cells: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-            h = [_mixed((i & (1 << 64) - 1) + 0x9E3779B97F4A7C15 & (1 << 64) - 1) if i is not None else _mixed(7) for i in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64()), pa.array([x % cells for x in h], pa.int32()), pa.array([x >> 1 for x in h], pa.int64())], ["id", "size", "text_crc32", "cell", "within"])
-
-    return run
-
-
 def assign(df: DataFrame, shards: int = 8, slack: float = 0.0, id_col: str = "doc_id", text_col: str = "text", places: int = PLACES, cells: int = CELLS) -> DataFrame:
     """id, size (UTF-8 bytes and 1), text_crc32, shard and slot (0, 1, ... in each shard) of every row.
 
     The text is read once, for its size and CRC; a narrow table in the shared folder serves both the counts and the ranks.
     """
     spark = ship(df.sparkSession)
-    rows = cut(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(_hashed(cells), _ROW), "ring")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int")).withColumn("within", F.xxhash64("id", "text_crc32", "size", F.monotonically_increasing_id()))
+    rows = cut(rows.withColumn("part", F.pmod("within", F.lit(PARTS)).cast("int")), "ring")
     counts = np.zeros(cells, dtype=np.int64)
     for cell, n in rows.groupBy("cell").count().collect():  # CELLS rows at most
         counts[cell] = n
@@ -123,7 +115,9 @@ def assign(df: DataFrame, shards: int = 8, slack: float = 0.0, id_col: str = "do
         filled[shard] += n
     kinds = T.StructType([T.StructField("cell", T.IntegerType())] + [T.StructField(c, T.LongType()) for c in ("first", "stop")] + [T.StructField("shard", T.IntegerType()), T.StructField("base", T.LongType())])
     plan_df = spark.createDataFrame(plan, kinds)  # CELLS and a few rows more: bounded, whatever the input
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("within", "id", "text_crc32", "size")) - 1
-    ranked = rows.withColumn("rank", rank.cast("bigint"))
+    parts = rows.groupBy("cell", "part").agg(F.count("*").alias("rows"))  # CELLS x PARTS rows at most
+    before = parts.select("cell", "part", (F.sum("rows").over(Window.partitionBy("cell").orderBy("part")) - F.col("rows")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("cell", "part").orderBy("within", "id", "text_crc32", "size")) - 1
+    ranked = rows.withColumn("nth", rank).join(before, ["cell", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
     here = (ranked["cell"] == plan_df["cell"]) & (ranked["rank"] >= plan_df["first"]) & (ranked["rank"] < plan_df["stop"])
     return ranked.join(F.broadcast(plan_df), here).select("id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("first")).alias("slot"))

@@ -94,12 +94,13 @@ def exact_patterns(present: np.ndarray, capacity: int) -> np.ndarray:
     have = np.zeros(capacity + 1, bool)
     have[present] = True
     have[0] = True
-    b, c = np.meshgrid(np.arange(capacity + 1), np.arange(capacity + 1), indexing="ij")
-    keep = (c <= b) & have[b] & have[c] & (2 * b + c <= capacity)
-    b, c = b[keep], c[keep]
-    a = capacity - b - c
-    keep = have[a] & (a >= b) & (a > 0)
-    return np.stack([a[keep], b[keep], c[keep]], axis=1)
+    found = [np.zeros((0, 3), np.int64)]
+    for b in np.flatnonzero(have[: capacity // 2 + 1]).tolist():  # row by row: memory follows the patterns, not the square of the capacity
+        c = np.flatnonzero(have[: min(b, capacity - 2 * b) + 1])
+        a = capacity - b - c
+        keep = have[a] & (a >= b) & (a > 0)
+        found.append(np.stack([a[keep], np.full(int(keep.sum()), b), c[keep]], axis=1))
+    return np.concatenate(found)
 
 
 def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, steps: int = STEPS) -> np.ndarray:
