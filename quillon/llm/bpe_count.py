@@ -8,7 +8,7 @@ makes it, so this ends where merging one pair at a time would. What is left in a
 Counts of words are kept by the worker, so a frequent word is merged once for each table of KEPT words.
 
 Defined results: a null text is an empty one, of 0 tokens; the strings of added tokens count 1 wherever they stand in
-a text, as is the library's default; repeated rows give repeated rows; a table without rows gives none. Memory follows
+a text, as is the library's default; a vocabulary of another kind is refused; repeated rows give repeated rows; a table without rows gives none. Memory follows
 the slab (or the longest single text).
 """
 
@@ -49,14 +49,48 @@ def white_split(text: str) -> list[str]:
     return _WORD.findall(text) if any(c in text for c in _SOLID) else text.split()
 
 
+#: The normaliser and pre-tokeniser whose words this module cuts by itself; for all others the library does.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def unsupported(spec: dict) -> list[str]:
+    """What a vocabulary in the library's JSON format does that array merging doesn't."""
+    model, added = spec["model"], spec.get("added_tokens") or []
+    split = spec.get("pre_tokenizer") or {}
+    steps = split.get("pretokenizers", [split])
+    found = {
+        "a type other than merges": model.get("type", "BPE") != "BPE",
+        "options of its merges": any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges", "fuse_unk")),
+        "no bytes as symbols": not any(s.get("type") == "ByteLevel" for s in steps),
+        "a space before each text": any(s.get("add_prefix_space") for s in steps),
+        "added tokens that match in other ways": any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")) or any(t.get("normalized") for t in added if not t.get("special")),
+    }
+    return [what for what, there in found.items() if there]
+
+
 class Counter:
-    """Counts tokens of a word-end BPE vocabulary in its library's JSON format."""
+    """Counts tokens of a byte-level BPE vocabulary in its library's JSON format; refuses what it can't count exactly.
+
+    Where the normaliser and pre-tokeniser are the KNOWN ones, words are cut here; else the library cuts every text.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
+        if found := unsupported(model):
+            raise ValueError(f"the vocabulary has {', '.join(found)}")
+        self.known = all(model.get(k) == v for k, v in KNOWN.items())
         vocab, merges = model["model"]["vocab"], model["model"]["merges"]
         self.end = model["model"].get("end_of_word_suffix") or ""
         lib = Tokenizer.from_file(path)
@@ -75,7 +109,7 @@ class Counter:
         self.first = np.array([vocab.get(shown[b], -1) for b in range(256)], dtype=np.int64)
         self.last = np.array([vocab.get(shown[b] + self.end, -1) for b in range(256)], dtype=np.int64)
         self.counts: dict[str, int] = {}
-        self.usual = self.split is not None and all("".join(x for x, _ in self.split.pre_tokenize_str(self.normal.normalize_str(t))) == "".join(shown[b] for w in _PRE.findall(t.lower()) for b in w.encode()) for t in ("I'LL see 12 Éß's!?", "a'b''s <x>\ty"))
+        self.byte_of = {c: b for b, c in shown.items()}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair; the number of merges where there is none."""
@@ -138,7 +172,10 @@ class Counter:
         return out
 
     def pre_tokens(self, word: str) -> list[bytes]:
-        """The pre-tokens, in bytes, of a word without white space."""
+        """The pre-tokens, in bytes, of a word without white space; of a pre-token itself where the library has cut."""
+        back = self.byte_of
+        if not self.known:
+            return [bytes(back[c] for c in word)]
         if _LETTERS.match(word):
             return [word.encode()]
         low = word.lower()
@@ -146,7 +183,6 @@ class Counter:
             return [low.encode()]
         if _PLAIN.match(word) and "'" not in word:
             return [x.encode() for x in _SIMPLE.findall(low)]
-        back = _characters_byte()
         return [bytes(back[c] for c in x) for x, _ in self.split.pre_tokenize_str(self.normal.normalize_str(word))]
 
     def encode(self, pre: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -167,15 +203,20 @@ class Counter:
         return (np.concatenate(done), np.concatenate(counts)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def words(self, text: str) -> tuple[list[str], int]:
-        """The words between white space, and the number of added tokens."""
-        if self.added is None or "<" not in text:
-            return white_split(text), 0
+        """The words between white space (where the library cuts: the pre-tokens), and the number of added tokens."""
+        split = white_split if self.known else self.by_library
+        if self.added is None or self.known and "<" not in text:
+            return split(text), 0
         parts = self.added.split(text)
-        return [w for p in parts for w in white_split(p)], len(parts) - 1
+        return [w for p in parts for w in split(p)], len(parts) - 1
+
+    def by_library(self, text: str) -> list[str]:
+        """The library's pre-tokens, spelled in its characters for bytes."""
+        return [x for x, _ in self.split.pre_tokenize_str(self.normal.normalize_str(text) if self.normal else text)] if text else []
 
     def cut(self, text: str) -> tuple[list[str], int]:
         """(words or pre-tokens, added tokens) of a text: pre-tokens where one pattern finds them, words between white space otherwise."""
-        if self.usual and _EASY.match(text) and (self.added is None or "<" not in text or not self.added.search(text)):
+        if self.known and _EASY.match(text) and (self.added is None or "<" not in text or not self.added.search(text)):
             return _PRE.findall(text.lower()), 0
         return self.words(text)
 
@@ -238,13 +279,6 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-def _characters_byte() -> dict[str, int]:
-    if not _BACK:
-        _BACK.update({c: b for b, c in _byte_characters().items()})
-    return _BACK
-
-
-_BACK: dict[str, int] = {}
 _COUNTERS: dict[str, Counter] = {}
 
 

@@ -36,13 +36,55 @@ SCHEMA = "id bigint, n_tokens bigint, ids array<int>, decoded string"
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
+def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of each field of a serialised protocol buffer message."""
+
+    def number(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            byte = data[at]
+            value |= (byte & 127) << shift
+            at, shift = at + 1, shift + 7
+            if byte < 128:
+                return value, at
+
+    at = 0
+    while at < len(data):
+        tag, at = number(at)
+        if tag & 7 == 0:
+            value, at = number(at)
+        else:
+            size, at = number(at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+            value, at = data[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def unsupported(model: bytes) -> list[str]:
+    """What a serialised model does that this codec doesn't. Numbers of fields and types are those of the public format."""
+    whole = list(fields(model))
+    trainer, normal = (dict(fields(next((v for k, v in whole if k == n), b""))) for n in (2, 3))
+    kinds = {dict(fields(v)).get(3, 1) for k, v in whole if k == 1}
+    found = {
+        "a type other than merges": trainer.get(3, 1) != 2,
+        "the space mark at words' ends": bool(trainer.get(24, 0)),
+        "a normaliser": bool(normal.get(2)),
+        "no leading space": not normal.get(3, 1),
+        "white space that is dropped": bool(normal.get(4, 1)),
+        "spaces that stay as they are": not normal.get(5, 1),
+        "user-defined symbols": 4 in kinds,
+    }
+    return [what for what, there in found.items() if there]
+
+
 class Codec:
-    """A merge-type model without normalisation: encode to ids and decode as its library does."""
+    """A merge-type model without normalisation: encode to ids and decode as its library does. Other models are refused."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        if found := unsupported(lib.serialized_model_proto()):
+            raise ValueError(f"the model has {', '.join(found)}")
         n = lib.get_piece_size()
         self.pieces = [lib.id_to_piece(i) for i in range(n)]
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if lib.is_byte(i)}

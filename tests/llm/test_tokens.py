@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -160,3 +161,42 @@ def test_best_fit_equals_piece_by_piece():
                     rooms.append(size - length)
         plan = packing.best_fit(left, size)
         assert sorted(size - sum(parts) for parts, n in plan for _ in range(n)) == sorted(rooms)
+
+
+def test_another_vocabulary_is_cut_by_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, own, ids = Tokenizer.from_file(path), bpe_count.Counter(path), packing.WordIds(path)
+    assert not own.known and bpe_count.Counter(WORDS).known
+    some = texts(1500, 7) + ["  two  spaces\n\n and lines", "word" * 5000]  # a word of 20,000 characters
+    want = [lib.encode(t, add_special_tokens=False).ids for t in some]
+    assert own.count(some) == list(map(len, want))
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids.texts(some)] == want
+
+
+def test_an_overlong_word():
+    some = ["x" * 70_000, "%$" * 20_000 + " end", "\u00e9" * 9_000]
+    lib = Tokenizer.from_file(WORDS)
+    assert bpe_count.Counter(WORDS).count(some) == [len(lib.encode(t, add_special_tokens=False).ids) for t in some]
+
+
+@pytest.mark.parametrize("change", [{"type": "WordPiece"}, {"dropout": 0.1}, {"continuing_subword_prefix": "##"}, {"byte_fallback": True}])
+def test_vocabularies_of_other_kinds_are_refused(tmp_path, change):
+    spec = json.loads(open(WORDS, encoding="utf-8").read())
+    spec["model"] |= change
+    assert bpe_count.unsupported(spec)
+    spec = json.loads(open(WORDS, encoding="utf-8").read())
+    assert not bpe_count.unsupported(spec)
+    assert bpe_count.unsupported(spec | {"pre_tokenizer": {"type": "Whitespace"}}) and bpe_count.unsupported(spec | {"added_tokens": [{"content": "x", "lstrip": True, "special": True}]})
+
+
+def test_models_of_other_kinds_are_refused():
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES).serialized_model_proto()
+    assert piece_codec.unsupported(model) == []
+    spec = lambda number, *fields: bytes([number << 3 | 2, sum(map(len, fields)) % 128, *b"".join(fields)])
+    normal, trained = spec(3, b"\x18\x01", b"\x20\x00"), spec(2, b"\x18\x02")
+    assert piece_codec.unsupported(trained + normal) == []
+    assert piece_codec.unsupported(spec(2, b"\x18\x01") + normal) == ["a type other than merges"]
+    assert piece_codec.unsupported(trained + spec(3, b"\x12\x03abc", b"\x20\x00")) == ["a normaliser"]
+    assert piece_codec.unsupported(trained + spec(3, b"\x18\x00", b"\x20\x00")) == ["no leading space"]
+    assert piece_codec.unsupported(trained) == ["white space that is dropped"]
+    assert piece_codec.unsupported(trained + normal + spec(1, b"\x0a\x01x", b"\x18\x04")) == ["user-defined symbols"]
