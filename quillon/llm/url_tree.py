@@ -10,10 +10,16 @@
    Hoeffding bound, all the way down, are merged into one.
 4. A template is rejected if its labelled purity, smoothed by PRIOR pseudo-labels of even odds, reaches REJECT.
 
-Labels come from the caller. A list of host and path rules decides before the method, the longest fitting rule first.
+Labels come from the caller, or else from what pages hold: the text of a page is bad where it is no prose (symbols,
+capitals, exclamations or repeated words make up more than a share of it), and good otherwise. So labels differ from page
+to page of a host, and names of hosts say nothing. A list of host and path rules decides before the method, the longest
+fitting rule first; its verdict is the label of the pages that it fits.
 
 Defined results: a null URL, or one without ://, has an empty host and path, no rule, and is judged by the template of
-the empty path; page ids may be null or repeat; a table without rows gives none.
+the empty path; a page whose content is null or without words has no label, nor has any where the table has no content;
+page ids may be null or repeat (each row is judged, and counted, for itself); URLs and pages of any length are read
+whole; a table without rows gives none. Of children that tie none goes before the other: a child's place depends on its
+own share of the pages.
 """
 
 from __future__ import annotations
@@ -29,8 +35,8 @@ from quillon.runtime import cut, ship
 DEPTH, MOST_CHILDREN, RARE = 4, 12, 0.01
 #: Confidence of the merging test, pseudo-labels, and the purity that rejects.
 ALPHA, PRIOR, REJECT = 0.05, 4.0, 0.8
-#: Words in host names that mark a page as unwanted.
-UNWANTED = ("casino", "bets", "betting", "pills", "pharma", "ads", "adserver", "track", "tracker", "spam", "adult", "porn", "xxx", "warez", "phishing", "malware")
+#: Shares of a page's characters (symbols, capitals) and words (exclamation marks, repeated words) beyond which it is no prose.
+SYMBOLS, CAPITALS, EXCLAIMED, REPEATED = 0.02, 0.3, 0.3, 0.6
 #: The Hoeffding bound is this by the sum of 1 / sqrt(pages) of both sides.
 _SCALE = math.sqrt(0.5 * math.log(2 / ALPHA))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,6 +59,19 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
+def no_prose(html: Column) -> Column:
+    """Whether a page's text (its article's, if it has one) is no prose; null without words."""
+    article = F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*)</article>", 1)
+    body = F.when(article != "", article).otherwise(F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1>", " "))
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"(?s)<!--.*?-->|<[^>]*>", " "), "&amp;", "&"), r"&(lt|gt|quot|nbsp|#\d+);", " "))
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    share = lambda pattern, of: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / F.greatest(of, F.lit(1))
+    strange = share(r"[%$&#*@^~{}|\\=+_]", F.length(text)) > SYMBOLS
+    loud = (share(r"\p{Lu}", F.length(text)) > CAPITALS) | (share("!", F.size(words)) > EXCLAIMED)
+    again = 1 - F.size(F.array_distinct(words)) / F.size(words) > REPEATED
+    return F.when(F.size(words) > 0, strange | loud | again)
+
+
 def typed_path(path: Column) -> Column:
     """The path with numbers, hexadecimal and mixed identifiers as wildcards; what lies beyond DEPTH segments as one more."""
     seg = F.split(F.regexp_replace(path, r"\A/", ""), "/")
@@ -148,22 +167,24 @@ def _host_tree(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": rows["host"], "template": rows["template"], "bad_share": [known.get(tuple(t.split("/")), 0.5) for t in rows["template"]]})
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], bad: Column | None = None, good: Column | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], bad: Column | None = None, good: Column | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, typed_path and bad_share (the template's smoothed purity) of every page.
 
-    bad and good: conditions over the columns host, path, rule and ruled (its verdict) that label a page; by default a
-    rule's verdict labels it, and an unwanted word in the host name does.
+    bad and good: conditions over the columns host, path, rule, ruled (its verdict) and noise (whether the page's text is
+    no prose; null if unknown) that label a page; by default a rule's verdict labels it, and noise where none fits.
     """
     ship(pages.sparkSession)
     url = F.col(url_col)
     host, path = host_and_path(url)
-    narrow = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"))
+    shown = html_col.lower() in {c.lower() for c in pages.columns}
+    noise = no_prose(F.col(html_col)) if shown else F.lit(None).cast("boolean")
+    narrow = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"), noise.alias("noise"))
     rule, ruled = fitting_rule(F.col("host"), F.col("path"), rules)
     narrow = narrow.select("*", rule.alias("rule"), ruled.alias("ruled"), typed_path(F.col("path")).alias("typed"))
     if bad is None:
-        bad = (F.col("ruled") == "block") | F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, UNWANTED)))
+        bad = F.coalesce(F.col("ruled") == "block", F.col("noise"))
     if good is None:
-        good = (F.col("ruled") == "allow") & ~F.coalesce(bad, F.lit(False))
+        good = ~bad
     ones = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
     counts = cut(narrow.groupBy("host", "typed").agg(F.count("*").alias("n"), ones(bad).alias("bad"), ones(good).alias("good")), "paths")
     general = cut(_generalised(counts), "templates")

@@ -1,4 +1,7 @@
+import math
+import random
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -112,3 +115,104 @@ def test_more_segments_do_not_change_a_verdict(spark, languages):
     out = {r.page_id: r for r in url_tree.judge(pages, [], bad, url_tree.F.lit(False)).collect()}
     assert all(out[i * 1000 + k].verdict == ("allow" if i else "block") for i in range(languages) for k in range(40))
     assert all(out[10**6 + k].verdict == "block" for k in range(2000))
+
+
+def slow_shares(pages):
+    """bad_share of each page (host, typed path, bad, good), by the method's definition over lists of pages, host by host."""
+    scale = math.sqrt(0.5 * math.log(2 / 0.05))
+
+    def split(rows, depth):
+        out = defaultdict(list)
+        for r in rows:
+            if len(r["segs"]) > depth:
+                out[r["segs"][depth]].append(r)
+        return out
+
+    def generalise(rows, depth):
+        kids, inner = split(rows, depth), [r for r in rows if len(r["segs"]) > depth]
+        if len(kids) > 12:
+            for kid in kids.values():
+                rest = len(inner) - len(kid)
+                if len(kid) >= 0.01 * len(inner):
+                    continue
+                bound = scale * (1 / math.sqrt(len(kid)) + 1 / math.sqrt(rest))
+                bad, good = (sum(r[c] for r in kid) / len(kid) - (sum(r[c] for r in inner) - sum(r[c] for r in kid)) / rest for c in ("bad", "good"))
+                name = "*bad" if bad > bound or good < -bound else "*good" if good > bound or bad < -bound else "*"
+                for r in kid:
+                    r["segs"][depth] = name
+        for kid in split(rows, depth).values():
+            generalise(kid, depth + 1)
+
+    def alike(a, b, depth):
+        bound = scale * (1 / math.sqrt(len(a)) + 1 / math.sqrt(len(b)))
+        ka, kb = split(a, depth), split(b, depth)
+        shares = [[sum(r[c] for r in x) / len(x) for x in (a, b)] for c in ("bad", "good")]
+        shares += [[sum(len(r["segs"]) == depth for r in x) / len(x) for x in (a, b)]]
+        shares += [[len(k.get(s, [])) / len(x) for k, x in ((ka, a), (kb, b))] for s in {*ka, *kb}]
+        return all(abs(x - y) <= bound for x, y in shares) and all(alike(ka[s], kb[s], depth + 1) for s in {*ka} & {*kb})
+
+    def judge(rows, depth):
+        purity = (sum(r["bad"] for r in rows) + 2) / (sum(r["bad"] + r["good"] for r in rows) + 4)
+        for r in rows:
+            if len(r["segs"]) == depth:
+                r["share"] = purity
+        classes = []
+        for _, kid in sorted(split(rows, depth).items(), key=lambda kv: (-len(kv[1]), kv[0])):
+            into = next((c for c in classes if alike(c, kid, depth + 1)), None)
+            classes.append(list(kid)) if into is None else into.extend(kid)
+        for c in classes:
+            judge(c, depth + 1)
+
+    rows = [{"host": h, "segs": t.split("/"), "bad": b, "good": g} for h, t, b, g in pages]
+    hosts = defaultdict(list)
+    for r in rows:
+        hosts[r["host"]].append(r)
+    for mine in hosts.values():
+        generalise(mine, 0)
+        judge(mine, 0)
+    return [r["share"] for r in rows]
+
+
+def test_trees_equal_a_slow_version(spark):
+    r = random.Random(11)
+    rows, words = [], [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
+    for h, n in (("a.test", 900), ("b.test", 400), ("c.test", 60), ("d.test", 1)):
+        for _ in range(n):
+            first = r.choice(words[: 4 if h == "c.test" else 25] + ["spam"] * 6)
+            path = "/".join([first, *[r.choice(["x", "y", str(r.randrange(99)), f"s{r.choice(words)}{r.choice(words)}"]) for _ in range(r.randrange(4))]])
+            noise = r.random() < (0.98 if first == "spam" else 0.2 if first < "d" else 0.02)
+            rows.append((len(rows), f"http://{h}/{path}{r.choice(['', '/', '.html'])}", r.choice(["a", "b"]) if noise else "c", noise))
+    pages = spark.createDataFrame(rows, "page_id long, url string, kind string, noise boolean")
+    html = url_tree.F.when(url_tree.F.col("noise"), "<article>%% $$ ##</article>").otherwise("<article>plain words of a page</article>")
+    out = {x.page_id: x for x in url_tree.judge(pages.withColumn("html", html), []).collect()}
+    shares = slow_shares([(out[k].host, out[k].typed_path, int(row[3]), int(not row[3])) for k, row in enumerate(rows)])
+    assert [out[k].bad_share for k in range(len(rows))] == pytest.approx(shares)
+    for host in ("a.test", "b.test"):  # unruled pages of one host get either verdict
+        assert {out[k].verdict for k in range(len(rows)) if out[k].host == host} == {"allow", "block"}
+    assert all((out[k].verdict == "block") == (shares[k] >= url_tree.REJECT) for k in range(len(rows)))
+
+
+def test_content_labels(spark):
+    texts = {
+        "prose": ("<html><head><title>%%%</title></head><body><article class='x'><h1>A title</h1><p>Plain words &amp; more, of a page that goes on for a while, as prose does.</p></article></body>", False),
+        "symbols": ("<article>the%% of$$ and## to** it</article>", True),
+        "capitals": ("<article>BUY NOW AND SAVE</article>", True),
+        "exclaimed": ("<article>wow! this! is! great</article>", True),
+        "repeated": ("<article>" + "one two " * 20 + "</article>", True),
+        "no article": ("<html><head><script>$$$$</script></head><body>plain words here</body></html>", False),
+        "empty": ("<article> \n </article>", None),
+        "null": (None, None),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in texts.items()], "name string, html string")
+    got = {x.name: x.n for x in df.select("name", url_tree.no_prose(url_tree.F.col("html")).alias("n")).collect()}
+    assert got == {k: v[1] for k, v in texts.items()}
+
+
+def test_odd_pages(spark):
+    """Nulls, repeated ids, a very long URL, columns that the operator uses itself, and no content at all."""
+    rows = [(1, "http://a.test/" + "x/" * 50_000, "x", 1, None), (1, None, None, 1, None), (None, "http://a.test/b", "y", None, "<p>"), (None, "http://a.test/b", "y", None, "<p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, n int, html string")
+    for df in (pages, pages.drop("html")):
+        out = url_tree.judge(df, entries.RULES).collect()
+        assert len(out) == 4 and all(x.bad_share == 0.5 and x.verdict == "allow" for x in out)
+        assert sorted(len(x.path) for x in out) == [0, 2, 2, 100_001]
