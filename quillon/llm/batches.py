@@ -99,7 +99,8 @@ def labelled_sample(docs, labels, label_col: str, limit: int, remainder: tuple[i
     """(text, label 0/1) of about `limit` rows at most, picked by a hash of the id among those that may be learnt from.
 
     remainder (m, r): ids whose CRC-32 leaves r when divided by m are held out. The labels that are kept number `limit`
-    at most, whatever the input, so they are broadcast and the texts don't move.
+    at most, whatever the input, so they are broadcast and the texts don't move. Contradicting labels of an id count as
+    the larger one. Of documents that share an id one is taken, that of the least hash of its text.
     """
     from pyspark.sql import functions as F
 
@@ -110,4 +111,8 @@ def labelled_sample(docs, labels, label_col: str, limit: int, remainder: tuple[i
     share = min(1.0, limit / max(n, 1))
     picked = known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col(id_col).cast("bigint").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "key").select("text", "label")
+    told = texts.join(F.broadcast(picked), "key")
+    # ids may repeat, a third of all rows may share one: the hash that stands for an id is found map-side
+    least = F.broadcast(told.groupBy("key").agg(F.min(F.xxhash64("text")).alias("least")))  # `limit` rows at most
+    once = told.join(least, "key").where(F.xxhash64("text") == F.col("least"))
+    return once.groupBy("key").agg(F.max("text").alias("text"), F.max("label").alias("label")).select("text", "label")

@@ -5,12 +5,14 @@ earlier line, length) and those of its neighbours give the weight of `bad`; neig
 Forward-backward marginals of `bad`, weighted by the lines' lengths, make a document's quality.
 
 Training lines take their document's label at first; in a second round those lines of bad documents that look good
-are taken as good, but for each document's worst. Training uses at most MAX_ROWS labelled documents, picked by a hash of
-the id, of at most MAX_LINES lines each; every text is scored whole, all its lines together.
+are taken as good, but for each document's worst. Training uses about MAX_ROWS labelled documents at most, picked by a
+hash of the id, and of these, if they have more than MAX_LINES lines in all, the share that has about so many, picked by
+a hash of the text: none is left out for its length. The score is a monotone function of the length-weighted mean of the
+marginals and of nothing else; its two coefficients are fitted to the documents' labels.
 
 Defined results: a null or empty text is one empty line; white lines are no lines; without labelled rows of both kinds
-every score is 0.5; repeated rows get equal scores; a table without rows gives none. Memory follows the slab or the
-longest text's lines.
+every score is 0.5; an id with contradicting labels counts as good; repeated rows get equal scores; a table without rows
+gives none. Memory follows the slab or the longest text's lines; the driver holds about MAX_LINES lines' features.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from pyspark.sql import functions as F
 
 from quillon.llm.batches import fresh_name, labelled_sample, slabs, with_scores
 from quillon.llm.linear import logistic, sigmoid
-from quillon.runtime import ship
+from quillon.runtime import cut, forget, ship
 
-#: Labelled documents to learn from, at most, and the lines of such a document, at most.
-MAX_ROWS, MAX_LINES = 8_000, 400
+#: Labelled documents to learn from, and all their lines, about and at most.
+MAX_ROWS, MAX_LINES = 8_000, 200_000
 #: Rows whose CRC-32 of the id leaves HELD_OUT[1] when divided by HELD_OUT[0] are not learnt from.
 HELD_OUT = (4, 2)
 THRESHOLD = 0.7
@@ -128,17 +130,14 @@ class QualityModel:
     calibration: np.ndarray
 
     def documents(self, features: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(P(bad) of all lines, summary of each document) of documents' line features."""
+        """(P(bad) of all lines, log odds of each document's length-weighted mean of it) of documents' line features."""
         lengths = np.array([len(f) for f in features])
         starts = np.cumsum(lengths) - lengths
         both = np.concatenate(features).astype(np.float64)
         p = marginals(with_neighbours(both[:, 1:], starts) @ self.weights, starts, lengths, self.trans)[0]
         weight = both[:, 0]
-        mean = np.add.reduceat(weight * p, starts) / np.add.reduceat(weight, starts)
-        words = np.log1p(np.add.reduceat(weight, starts)) / 10
-        worst = np.maximum.reduceat(p, starts)
-        clipped = np.clip(mean, 0.005, 0.995)
-        return p, np.stack([np.log(clipped / (1 - clipped)), mean, worst, words], axis=1)
+        mean = np.clip(np.add.reduceat(weight * p, starts) / np.add.reduceat(weight, starts), 0.001, 0.999)
+        return p, np.log(mean / (1 - mean))[:, None]
 
     def score(self, texts: list[str]) -> np.ndarray:
         if not len(self.weights):
@@ -163,20 +162,22 @@ def _train(x: np.ndarray, y: np.ndarray, starts: np.ndarray, lengths: np.ndarray
     return par[:-4], par[-4:].reshape(2, 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", max_lines: int = MAX_LINES) -> QualityModel:
     """Train the field on lines of labelled documents, and the documents' calibration on its marginals."""
     ship(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "quality", max_rows, HELD_OUT, id_col, text_col)
+    sample = cut(labelled_sample(docs, labels, "quality", max_rows, HELD_OUT, id_col, text_col), "labelled")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slabs(batches, "text"):
-            made = [line_features(t) for t in part.column(0).to_pylist()]
-            keep = [len(f) <= MAX_LINES for f in made]
-            yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f, k in zip(made, keep) if k], pa.binary()), part.column(1).filter(pa.array(keep, pa.bool_()))], ["x", "label"])
+            made = [line_features(t).tobytes() for t in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), part.column(1)], ["x", "label"])
 
-    rows = sample.mapInArrow(seen, "x binary, label int").collect()  # max_rows documents' features
+    lines = sample.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    part = sample.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(min(1.0, max_lines / max(lines, 1)) * (1 << 20)))
+    rows = part.mapInArrow(seen, "x binary, label int").collect()  # about max_lines lines' features
+    forget(sample)
     if len({r["label"] for r in rows}) < 2:
-        return QualityModel(np.zeros(0), np.zeros((2, 2)), np.zeros(5))
+        return QualityModel(np.zeros(0), np.zeros((2, 2)), np.zeros(2))
     features = [np.frombuffer(r["x"], np.float32).reshape(-1, N_OWN + 1) for r in rows]
     good = np.array([r["label"] for r in rows])
     lengths = np.array([len(f) for f in features])
@@ -187,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     p = marginals(x @ weights, starts, lengths, trans)[0]
     worst = p >= np.repeat(np.maximum.reduceat(p, starts), lengths)
     weights, trans = _train(x, of_bad * ((p > 0.3) | worst), starts, lengths)
-    model = QualityModel(weights, trans, np.zeros(5))
+    model = QualityModel(weights, trans, np.zeros(2))
     model.calibration = logistic(model.documents(features)[1], good.astype(float), l2=1e-4)
     return model
 
