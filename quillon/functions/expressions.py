@@ -82,3 +82,17 @@ def e_value(effect: Column) -> Column:
 def logsumexp(value: Column, top: Column) -> Column:
     """Aggregate: log of the sum of exponentials, given the group's largest value."""
     return F.max(top) + F.log(F.sum(F.exp(value - top)))
+
+
+def passed(limits: Column, x: Column, most: int) -> Column:
+    """How many of at most `most` rising limits x reaches, by halving; all for null and NaN."""
+    steps = [1 << k for k in range(most.bit_length() - 1, -1, -1)]
+    found = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(F.coalesce(F.get(limits, at + step - 1) <= x, F.lit(False)), at + step).otherwise(at))
+    return F.when(x.isNull(), F.lit(most)).otherwise(found)
+
+
+def gammln(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0, by its asymptotic series seven places higher up."""
+    y = x + 7
+    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y**5)
+    return series - sum((F.log(x + k) for k in range(1, 7)), F.log(x))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillon.functions.expressions import wilson
+from quillon.operators.ordered import joined_by, median, sums_before
 
 
 def coverage_by_item(df: DataFrame, items: list[str], cohort: str) -> DataFrame:
@@ -36,9 +36,10 @@ def profile(df: DataFrame, items: list[str]) -> DataFrame:
     long = df.unpivot([], items, "item", "value").where("value is not null")
     counts = long.groupBy("item", "value").agg(F.count("*").alias("n")).groupBy("item").agg(F.count("*").alias("n_distinct"), (F.max("n") / F.sum("n")).alias("modal_share"))
     v = F.col("value")
-    stats = long.groupBy("item").agg(F.count("*").alias("n"), F.avg((v == 0).cast("double")).alias("zero_share"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.percentile(v, F.lit(0.5)).alias("median"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurtosis"))
+    stats = long.groupBy("item").agg(F.count("*").alias("n"), F.avg((v == 0).cast("double")).alias("zero_share"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurtosis"))
     form = F.when(F.col("n_distinct") <= 2, "binary").when(F.col("zero_share") >= 0.3, "zero_inflated").when(F.col("n_distinct") < 10, "discrete").when(F.abs(F.col("skew")) > 1, "skewed").otherwise("roughly_symmetric")
-    return stats.join(counts, "item").withColumn("form", form)
+    middle = median(long, ["item"], "value").withColumnRenamed("value_median", "median")
+    return stats.join(counts, "item").join(middle, "item").withColumn("form", form)
 
 
 def cramers_v(df: DataFrame, a: str, b: str, corrected: bool = False) -> DataFrame:
@@ -91,10 +92,10 @@ def pairwise_correlation(df: DataFrame, items: list[str]) -> DataFrame:
 def ks_distance(df: DataFrame, value: str, side: str, by: list[str]) -> DataFrame:
     """Largest gap of the two sides' distribution functions (side is boolean), by group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(F.col(side)).alias("a"), F.count_if(~F.col(side)).alias("b"))
-    whole = Window.partitionBy(*by)
-    upto = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(whole) - F.sum("b").over(upto) / F.sum("b").over(whole))
-    return counts.select(*by, gap.alias("gap")).groupBy(*by).agg(F.max("gap").alias("ks"))
+    total = counts.groupBy(*by).agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"))
+    upto = joined_by(sums_before(counts, by, value, ["a", "b"]), total, by)
+    gap = F.abs((F.col("a_before") + F.col("a")) / F.col("_a") - (F.col("b_before") + F.col("b")) / F.col("_b"))
+    return upto.select(*by, gap.alias("gap")).groupBy(*by).agg(F.max("gap").alias("ks"))
 
 
 def standardized_difference(df: DataFrame, items: list[str], treat: str, weight: Column) -> DataFrame:
@@ -140,12 +141,30 @@ def medoids(df: DataFrame, group: str, key: str, axes: list[str]) -> DataFrame:
     """group, n, medoid: the row closest to its group's centroid (the least key of equals), and the distance."""
     centre = df.groupBy(group).agg(F.count("*").alias("n"), *[F.avg(a).alias(f"c_{a}") for a in axes])
     d2 = sum(((F.col(a) - F.col(f"c_{a}")) * (F.col(a) - F.col(f"c_{a}")) for a in axes), F.lit(0.0))
-    near = df.join(F.broadcast(centre), group).withColumn("d2", d2)  # a row for each group
+    near = df.join(centre, group).withColumn("d2", d2)
     return near.groupBy(group).agg(F.first("n").alias("n"), F.min(F.struct(F.round("d2", 9).alias("d2"), key)).alias("x")).select(group, "n", F.col(f"x.{key}").alias("medoid"), F.col("x.d2").alias("d2"))
 
 
 def shared_members(df: DataFrame, node: str, member: str) -> DataFrame:
-    """a, b, n: pairs of nodes with n common members; self-join on the member, each pair once."""
-    d = df.select(node, member).distinct()
-    x, y = d.select(F.col(node).alias("a"), member), d.select(F.col(node).alias("b"), member)
-    return x.join(y, member).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    """a, b, n: pairs of nodes with n common members, each pair once.
+
+    Members of the same nodes count as one with a weight: the pairs made are those of distinct sets of nodes, however many
+    members a cover has. A member's nodes are few (a cover's overlaps), and make one array.
+    """
+    sets = df.groupBy(member).agg(F.array_sort(F.collect_set(node)).alias("_nodes")).where(F.size("_nodes") > 1).groupBy("_nodes").agg(F.count("*").alias("_k"))
+    one = sets.select("_nodes", "_k", F.posexplode("_nodes").alias("_at", "a"))
+    return one.select("a", "_k", F.explode(F.slice("_nodes", F.col("_at") + 2, F.size("_nodes"))).alias("b")).groupBy("a", "b").agg(F.sum("_k").alias("n"))
+
+
+def order_digest(df: DataFrame, key: str, value: str) -> DataFrame:
+    """item, n, mean, sd (sample) and rank_hash: a digest of the order of the keys by value, then by key.
+
+    Each key's place times 48 bits of its digest, summed: two orders of the same keys give different sums but by chance,
+    and no task gathers the keys.
+    """
+    rows = df.where(F.col(value).isNotNull()).withColumn("_one", F.lit(1))
+    placed = sums_before(rows, [], value, ["_one"], [value, key])
+    digest = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 12), 16, 10).cast("decimal(15,0)")
+    place = (F.col("_one_before") + 1).cast("decimal(18,0)")
+    out = placed.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.sum((place * digest).cast("decimal(28,0)")).alias("_h"))
+    return out.select(F.lit(value).alias("item"), "n", "mean", "sd", F.sha2(F.col("_h").cast("string"), 256).alias("rank_hash"))

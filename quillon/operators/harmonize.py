@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillon.functions.expressions import normal_ppf
+from quillon.operators.ordered import joined_by, quantiles, with_place, with_rank
 
 Rule = Callable[[Column, Column], Column]
 _RULES: dict[str, Rule] = {}
@@ -111,14 +111,20 @@ def gate_report(df: DataFrame, rules: list[tuple[str, float, str, float]]) -> Da
 
 def normalized(df: DataFrame, items: list[str]) -> DataFrame:
     """Items of at most ten values to [-1, 1] by range; others winsorised, by robust z, to five deviations; constants 0."""
-    one = df.agg(*[f(c).alias(f"{c}__{n}") for c in items for n, f in (("d", F.count_distinct), ("lo", F.min), ("hi", F.max), ("q1", lambda c: F.percentile(c, F.lit(0.01))), ("q99", lambda c: F.percentile(c, F.lit(0.99))))])
-    both = df.crossJoin(F.broadcast(one))  # one row of statistics
-    clipped = both.withColumns({f"{c}__w": F.least(F.greatest(F.col(c), F.col(f"{c}__q1")), F.col(f"{c}__q99")) for c in items})
-    clipped = clipped.withColumns({f"{c}__w": F.when(F.col(c).isNotNull(), F.col(f"{c}__w")) for c in items})
-    med = clipped.agg(*[F.percentile(f"{c}__w", F.lit(0.5)).alias(f"{c}__m") for c in items], *[F.stddev_pop(f"{c}__w").alias(f"{c}__s") for c in items])
-    with_med = clipped.crossJoin(F.broadcast(med))
-    mad = with_med.agg(*[F.percentile(F.abs(F.col(f"{c}__w") - F.col(f"{c}__m")), F.lit(0.5)).alias(f"{c}__a") for c in items])
-    full = with_med.crossJoin(F.broadcast(mad))
+    long = df.unpivot([], items, "item", "value").where("value is not null")
+    counts = long.groupBy("item", "value").agg(F.count("*").alias("k"))  # all that follows needs values and how often they occur
+    extent = counts.groupBy("item").agg(F.count("*").alias("d"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    ends = quantiles(counts, ["item"], "value", [0.01, 0.99], "k").select("item", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q99"))
+    clipped = joined_by(counts, ends, ["item"]).select("item", "k", F.least(F.greatest("value", "q1"), "q99").alias("w"))
+    mid = quantiles(clipped, ["item"], "w", [0.5], "k").select("item", F.col("q")[0].alias("m"))
+    n = F.sum("k")
+    spread = clipped.groupBy("item").agg(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("k") * F.col("w") * F.col("w")) / n - (F.sum(F.col("k") * F.col("w")) / n) ** 2)).alias("s"))
+    away = joined_by(clipped, mid, ["item"]).select("item", "k", F.abs(F.col("w") - F.col("m")).alias("a"))
+    mad = quantiles(away, ["item"], "a", [0.5], "k").select("item", F.col("q")[0].alias("a"))
+    told = extent.join(ends, "item").join(mid, "item").join(spread, "item").join(mad, "item")
+    one = told.agg(*[F.max(F.when(F.col("item") == c, F.col(n))).alias(f"{c}__{n}") for c in items for n in ("d", "lo", "hi", "q1", "q99", "m", "s", "a")])
+    full = df.crossJoin(F.broadcast(one))  # one row of statistics
+    full = full.withColumns({f"{c}__w": F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"{c}__q1")), F.col(f"{c}__q99"))) for c in items})
 
     def scaled(c: str) -> Column:
         span = F.col(f"{c}__hi") - F.col(f"{c}__lo")
@@ -130,17 +136,10 @@ def normalized(df: DataFrame, items: list[str]) -> DataFrame:
     return full.select(*[x for x in df.columns if x not in items], *[scaled(c).alias(c) for c in items])
 
 
-def average_rank(x: str, partition: list[str]) -> Column:
-    """Rank with ties averaged, among the rows of the partition; null for null."""
-    by = [*partition, F.col(x).isNull()]
-    w = Window.partitionBy(*by)
-    return F.when(F.col(x).isNotNull(), F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*partition, x)) - 1) / 2.0)
-
-
-def rank_normal(x: str, partition: list[str]) -> Column:
-    """Normal quantile of the average rank over n + 1."""
-    n = F.count(x).over(Window.partitionBy(*partition))
-    return normal_ppf(average_rank(x, partition) / (n + 1.0))
+def rank_normal(df: DataFrame, x: str, by: list[str], name: str = "z") -> DataFrame:
+    """df with the normal quantile of x's rank (ties averaged) over n + 1, in its group; null for null."""
+    ranked = with_rank(df, x, by, "_rank", "_n")
+    return ranked.withColumn(name, normal_ppf(F.col("_rank") / (F.col("_n") + 1.0))).drop("_rank", "_n")
 
 
 def moments(df: DataFrame, items: list[str], by: list[str] | None = None) -> DataFrame:
@@ -152,7 +151,7 @@ def moments(df: DataFrame, items: list[str], by: list[str] | None = None) -> Dat
 def standardized(df: DataFrame, frozen: DataFrame, keys: list[str], items: list[str]) -> DataFrame:
     """keys, item, z of the observed cells under frozen moments; items without moments are all missing."""
     long = df.unpivot(keys, items, "item", "value").where("value is not null")
-    return long.join(F.broadcast(frozen.select("item", "mean", "sd")), "item").select(*keys, "item", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("z"))
+    return long.join(frozen.select("item", "mean", "sd"), "item").select(*keys, "item", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("z"))
 
 
 def residuals(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
@@ -167,13 +166,12 @@ def cohort_weights(df: DataFrame, cohort: str = "cohort") -> DataFrame:
     sizes = df.groupBy(cohort).agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
     weights = sizes.crossJoin(F.broadcast(total)).select(cohort, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(weights), cohort)  # a row for each cohort
+    return df.join(weights, cohort)
 
 
 def balanced(df: DataFrame, n: int, key: str, cohort: str, cohorts: int) -> DataFrame:
     """About n rows, as many of each cohort as it has, picked in the order of the key's digest."""
-    w = Window.partitionBy(cohort).orderBy(F.md5(F.col(key).cast("string")), key)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n // cohorts).drop("_r")
+    return with_place(df, [cohort], key, None, "_r").where(F.col("_r") < n // cohorts).drop("_r")
 
 
 def token_flags(text: Column, prefixes: list[tuple[str, str]], classes: list[str]) -> list[Column]:

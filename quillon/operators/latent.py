@@ -195,11 +195,13 @@ def factor_em(df: DataFrame, items: list[str], factors: int, iterations: int = 3
     return {"loadings": lam, "psi": psi, "loglik": ll}
 
 
-def nearest_neighbours(df: DataFrame, key: str, axes: list[str], variances: list[str], k: int, blocks: int = 8) -> DataFrame:
+def nearest_neighbours(df: DataFrame, key: str, axes: list[str], variances: list[str], k: int, block: int = 2048) -> DataFrame:
     """key, rank, neighbour, d2: the k rows of least sum (a - b)^2 / (va + vb + 1e-3), itself not counted.
 
-    Rows are cut into blocks; each pair of blocks is one task that keeps k of each row, and k of these are merged.
+    Rows are cut into blocks of about `block`, as many as there are rows for; each pair of blocks is one group that keeps k
+    of each row, and k of these are merged. Exact, so work is all pairs; no group grows with the table.
     """
+    blocks = max(1, -(-df.count() // block))
     both = df.select(key, *axes, *variances).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
     a = both.withColumn("_w", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_q", F.lit(1))
     b = both.withColumn("_w", F.col("_b")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_q", F.lit(0))
@@ -247,8 +249,14 @@ def waic(loglik: DataFrame, row: str, value: str) -> DataFrame:
     return p.agg(F.count("*").alias("n"), F.sum("e").alias("elpd"), F.sum("p").alias("p_waic"), (-2 * F.sum("e")).alias("waic"), (2 * F.sqrt(F.count("*") * F.var_pop("e"))).alias("se"))
 
 
-def usefulness(weights: Column, k: int, tau: float = 0.5) -> dict[str, Column]:
-    """Aggregates over soft memberships: confident share, median normalised entropy, boundary share, perplexity."""
+def usefulness(df: DataFrame, weights: str, k: int, tau: float = 0.5) -> DataFrame:
+    """One row over soft memberships: confident share, median normalised entropy, boundary share, perplexity."""
+    from quillon.operators.ordered import median
+
+    weights = F.col(weights)
     raw = F.aggregate(weights, F.lit(0.0), lambda s, w: s - F.greatest(w, F.lit(1e-12)) * F.log(F.greatest(w, F.lit(1e-12))))
     top = F.array_max(weights)
-    return {"confident": F.avg((top > tau).cast("double")), "median_entropy": F.percentile(raw / float(np.log(k)), F.lit(0.5)), "boundary": F.avg((top < 1 / k + 0.05).cast("double")), "effective": F.exp(F.avg(raw))}
+    rows = df.select(raw.alias("h"), top.alias("top"))
+    shares = rows.agg(F.avg((F.col("top") > tau).cast("double")).alias("confident"), F.avg((F.col("top") < 1 / k + 0.05).cast("double")).alias("boundary"), F.exp(F.avg("h")).alias("effective"))
+    middle = median(rows, [], "h").select((F.col("h_median") / float(np.log(k))).alias("median_entropy"))
+    return shares.crossJoin(F.broadcast(middle)).select("confident", "median_entropy", "boundary", "effective")

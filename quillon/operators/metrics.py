@@ -6,18 +6,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillon.functions.expressions import normal_cdf, normal_pdf
+from quillon.operators.ordered import median, sums_before, with_place
 
 
 def auc_brier(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
-    """n, auc, brier. Ranks with ties averaged come from counts by distinct score, not from a sort of all rows."""
+    """n, auc, brier. Ranks with ties averaged come from counts by distinct score, and these from sums by bins of scores."""
     by = by or []
     have = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     c = have.groupBy(*by, p).agg(F.count("*").alias("k"), F.sum(F.col(y).cast("bigint")).alias("k1"))
-    below = F.coalesce(F.sum("k").over(Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = c.withColumn("rank", below + (F.col("k") + 1) / 2.0)
+    r = sums_before(c, by, p, ["k"]).withColumn("rank", F.col("k_before") + (F.col("k") + 1) / 2.0)
     s = r.groupBy(*by).agg(F.sum("k").alias("n"), F.sum("k1").alias("n1"), F.sum(F.col("rank") * F.col("k1")).alias("s"), F.sum(F.col("k1") * (1 - F.col(p)) ** 2 + (F.col("k") - F.col("k1")) * F.col(p) ** 2).alias("b"))
     n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
     return s.select(*by, "n", ((F.col("s") - n1 * (n1 + 1) / 2.0) / F.when(n1 * n0 > 0, n1 * n0)).alias("auc"), (F.col("b") / F.col("n")).alias("brier"))
@@ -82,22 +81,24 @@ def gaussian_loo(df: DataFrame, y: str, x: str) -> DataFrame:
 
 def stratified_folds(df: DataFrame, key: str, strata: list[str], k: int, repeat: int = 0) -> DataFrame:
     """df with fold 0..k-1: rows of a stratum dealt in the order of a digest of key and repeat."""
-    w = Window.partitionBy(*strata).orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(repeat)))), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    return with_place(df, strata, key, str(repeat), "_place").withColumn("fold", (F.col("_place") % k).cast("int")).drop("_place")
 
 
 def overlap(df: DataFrame, ps: str, treat: str) -> DataFrame:
     """Arms' sizes and medians, the common range and its share of rows."""
     arm = lambda t, c: F.when(F.col(treat) == t, c)
     p = F.col(ps)
-    s = df.agg(F.count(arm(1, p)).alias("n_treated"), F.count(arm(0, p)).alias("n_control"), F.percentile(arm(1, p), F.lit(0.5)).alias("ps_treated_median"), F.percentile(arm(0, p), F.lit(0.5)).alias("ps_control_median"), F.greatest(F.min(arm(1, p)), F.min(arm(0, p))).alias("common_lo"), F.least(F.max(arm(1, p)), F.max(arm(0, p))).alias("common_hi"))
+    s = df.agg(F.count(arm(1, p)).alias("n_treated"), F.count(arm(0, p)).alias("n_control"), F.greatest(F.min(arm(1, p)), F.min(arm(0, p))).alias("common_lo"), F.least(F.max(arm(1, p)), F.max(arm(0, p))).alias("common_hi"))
+    m = median(df.where(F.col(treat).isin(0, 1)), [treat], ps).agg(*[F.max(F.when(F.col(treat) == t, F.col(f"{ps}_median"))).alias(f"ps_{n}_median") for t, n in ((1, "treated"), (0, "control"))])
+    s = s.crossJoin(F.broadcast(m)).select("n_treated", "n_control", "ps_treated_median", "ps_control_median", "common_lo", "common_hi")
     inside = df.crossJoin(F.broadcast(s.select("common_lo", "common_hi"))).agg(F.avg(p.between(F.col("common_lo"), F.col("common_hi")).cast("double")).alias("frac_in_support"))
     return s.crossJoin(F.broadcast(inside))
 
 
 def stabilized_weights(df: DataFrame, ps: str, treat: str, clip: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
     """df with weight and keep (inside the common range)."""
-    s = overlap(df, ps, treat).select("common_lo", "common_hi").crossJoin(F.broadcast(df.agg(F.avg(treat).alias("_pt"))))
+    arm = lambda t: F.when(F.col(treat) == t, F.col(ps))
+    s = df.agg(F.greatest(F.min(arm(1)), F.min(arm(0))).alias("common_lo"), F.least(F.max(arm(1)), F.max(arm(0))).alias("common_hi")).crossJoin(F.broadcast(df.agg(F.avg(treat).alias("_pt"))))
     p = F.least(F.greatest(F.col(ps), F.lit(clip[0])), F.lit(clip[1]))
     j = df.crossJoin(F.broadcast(s))
     w = F.when(F.col(treat) == 1, F.col("_pt") / p).otherwise((1 - F.col("_pt")) / (1 - p))

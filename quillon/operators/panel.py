@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.expressions import first_argmax
+from quillon.operators.ordered import quantiles
 
 
 def visit_number(visit: Column) -> Column:
@@ -67,12 +68,13 @@ def dominant_agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     cos = dot(F.col(a), F.col(b)) / F.greatest(F.sqrt(dot(F.col(a), F.col(a))) * F.sqrt(dot(F.col(b), F.col(b))), F.lit(1e-12))
     d = pairs.select(first_argmax(F.col(a)).alias("da"), first_argmax(F.col(b)).alias("db"), cos.alias("cos"))
-    base = d.agg(F.count("*").alias("n"), F.avg((F.col("da") == F.col("db")).cast("double")).alias("agree"), F.percentile("cos", F.lit(0.5)).alias("cos_median"), F.percentile("cos", F.lit(0.1)).alias("cos_q10"))
+    base = d.agg(F.count("*").alias("n"), F.avg((F.col("da") == F.col("db")).cast("double")).alias("agree"))
     cells = d.groupBy("da", "db").agg(F.count("*").alias("k"))
     ra, rb = cells.groupBy(F.col("da").alias("c")).agg(F.sum("k").alias("ka")), cells.groupBy(F.col("db").alias("c")).agg(F.sum("k").alias("kb"))
     chance = ra.join(rb, "c").agg(F.coalesce(F.sum(F.col("ka") * F.col("kb")), F.lit(0)).alias("_e"))
     e = F.col("_e") / (F.col("n") * F.col("n"))
-    return base.crossJoin(F.broadcast(chance)).select("n", "agree", ((F.col("agree") - e) / (1 - e)).alias("kappa"), "cos_median", "cos_q10")
+    q = quantiles(d, [], "cos", [0.5, 0.1]).select(F.col("q")[0].alias("cos_median"), F.col("q")[1].alias("cos_q10"))
+    return base.crossJoin(F.broadcast(chance)).crossJoin(F.broadcast(q)).select("n", "agree", ((F.col("agree") - e) / (1 - e)).alias("kappa"), "cos_median", "cos_q10")
 
 
 def trajectory(v0: Column, v1: Column, v2: Column, s0: Column, s1: Column, s2: Column, z: float = 1.96) -> Column:

@@ -142,7 +142,7 @@ def _q14(spark, d):
 p AS (SELECT vec_id, CAST(rk / (n + 1.0) AS DOUBLE) AS p FROM k), q AS (SELECT vec_id, p, sqrt(-2*ln(p)) AS ql, sqrt(-2*ln(1-p)) AS qh, (p-0.5)*(p-0.5) AS r FROM p) SELECT vec_id, round({PPF_SQL}, 6) AS z FROM q""")
 def _q15(spark, d):
     """Average ranks to normal quantiles, label by label."""
-    return latent(spark, d, 1).select("vec_id", F.round(h.rank_normal("x0", ["label"]), 6).alias("z"))
+    return h.rank_normal(latent(spark, d, 1), "x0", ["label"]).select("vec_id", F.round("z", 6).alias("z"))
 
 
 @query("freeze_apply_moments", f"""WITH {PANEL_SQL}, m AS (SELECT avg(mean_price) m1, stddev_samp(mean_price) s1, avg(urgent_price) m2, stddev_samp(urgent_price) s2 FROM panel WHERE visit = 'V0')
@@ -161,7 +161,7 @@ def _q17(spark, d):
 
     c = table(spark, d, "customer")
     levels = c.select("c_mktsegment").distinct().withColumn("seg_code", (F.dense_rank().over(Window.orderBy("c_mktsegment")) - 1).cast("bigint"))
-    return c.join(F.broadcast(levels), "c_mktsegment").select("c_custkey", (F.col("c_mktsegment") == "BUILDING").cast("int").alias("seg_building"), (F.col("c_mktsegment") == "MACHINERY").cast("int").alias("seg_machinery"), "seg_code")
+    return c.join(levels, "c_mktsegment").select("c_custkey", (F.col("c_mktsegment") == "BUILDING").cast("int").alias("seg_building"), (F.col("c_mktsegment") == "MACHINERY").cast("int").alias("seg_machinery"), "seg_code")
 
 
 @query("z_population", """SELECT c_custkey, round((c_acctbal - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS z FROM customer, (SELECT avg(c_acctbal) m, stddev_pop(c_acctbal) s FROM customer)""")
@@ -179,7 +179,7 @@ def _q19(spark, d):
 
     p = panel(spark, d)
     seen = p.where("visit = 'V0'").select("n_orders").distinct().withColumn("code", (F.row_number().over(Window.orderBy("n_orders")) - 1).cast("bigint"))
-    return p.where("visit <> 'V0'").join(F.broadcast(seen), "n_orders", "left").select("patient", "visit", "code")
+    return p.where("visit <> 'V0'").join(seen, "n_orders", "left").select("patient", "visit", "code")
 
 
 @query("cohort_weights", """SELECT c_custkey, round((SELECT count(*) FROM customer) / ((SELECT count(DISTINCT c_mktsegment) FROM customer) * CAST(count(*) OVER (PARTITION BY c_mktsegment) AS DOUBLE)), 8) AS weight FROM customer""")
