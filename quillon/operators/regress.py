@@ -370,3 +370,38 @@ def paired_auc(df: DataFrame, key: str, y: str, p_ref: str, p_new: str, replicat
 def margin_verdict(lo: Column, hi: Column, margin: float) -> Column:
     """What an interval says about a margin: the raw data add, the latent ones do better, either suffices, or nothing."""
     return F.when(lo > margin, "raw-adds").when(hi < -margin, "latent-better").when((lo >= -margin) & (hi <= margin), "sufficient").otherwise("inconclusive")
+
+
+def residualised(df: DataFrame, y: str, xs: dict[str, Column]) -> DataFrame:
+    """df with {y}_res: y less its least-squares fit on a constant and the terms, from rows that have all of them; null elsewhere.
+
+    A fit needs two more rows than it has terms; with fewer y stays as it is.
+    """
+    f = fit(df, y, xs)
+    if f.n < len(f.terms) + 2:
+        return df.withColumn(f"{y}_res", F.col(y).cast("double"))
+    line = sum((F.lit(float(b)) * c for b, c in zip(f.coef[1:], xs.values())), F.lit(float(f.coef[0])))
+    return df.withColumn(f"{y}_res", F.col(y) - line)
+
+
+def spline(x: Column, knots: list[float], low: float, high: float, degree: int = 3) -> list[Column]:
+    """The B-spline basis functions of x on [low, high], by the recursion of de Boor; x is held inside the range."""
+    t = [low] * (degree + 1) + list(knots) + [high] * (degree + 1)
+    v = F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
+    last = max(k for k in range(len(t) - 1) if t[k] < t[k + 1])
+    out = [((v >= t[k]) & ((v < t[k + 1]) | (F.lit(k == last) & (v <= t[k + 1])))).cast("double") for k in range(len(t) - 1)]
+    for p in range(1, degree + 1):
+        nxt = []
+        for k in range(len(out) - 1):
+            left = (v - t[k]) / (t[k + p] - t[k]) * out[k] if t[k + p] > t[k] else F.lit(0.0)
+            right = (t[k + p + 1] - v) / (t[k + p + 1] - t[k + 1]) * out[k + 1] if t[k + p + 1] > t[k + 1] else F.lit(0.0)
+            nxt.append(left + right)
+        out = nxt
+    return out
+
+
+def worst_of(criteria: list[tuple[Column, float, float, bool]]) -> Column:
+    """PASS, CONDITIONAL or FAIL: the worst of criteria (value, bound to pass, bound to be conditional, whether more is better)."""
+    grades = [F.when(v >= a, 2).when(v >= b, 1).otherwise(0) if up else F.when(v < a, 2).when(v < b, 1).otherwise(0) for v, a, b, up in criteria]
+    low = F.least(*grades)
+    return F.when(low == 2, "PASS").when(low == 1, "CONDITIONAL").otherwise("FAIL")

@@ -11,7 +11,7 @@ from quillon.runtime import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
-_MODULES = ("harmonizing", "selecting", "aggregating", "following", "measuring", "deciding", "extending")
+_MODULES = ("harmonizing", "selecting", "aggregating", "following", "measuring", "deciding", "extending", "modelling")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

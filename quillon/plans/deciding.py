@@ -130,16 +130,3 @@ def _q15(spark, d):
     c = table(spark, d, "customer")
     s = c.agg(F.avg("c_acctbal").alias("m"), F.stddev_pop("c_acctbal").alias("s"))
     return c.crossJoin(F.broadcast(s)).select("c_custkey", F.round((F.col("c_acctbal") - F.col("m")) / F.col("s"), 7).alias("acctbal"), (F.col("c_mktsegment") == "BUILDING").cast("int").alias("building"))
-
-
-@query("propensity_model")
-def _q16(spark, d):
-    """L2 logistic regression (regParam 1/n on standardised inputs)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    t = _treated(spark, d)
-    s = t.agg(F.avg("o_totalprice").alias("m"), F.stddev_pop("o_totalprice").alias("s"), F.count("*").alias("n")).first()
-    x = VectorAssembler(inputCols=["z"], outputCol="features").transform(t.withColumn("z", (F.col("o_totalprice") - s["m"]) / s["s"]))
-    fit = LogisticRegression(labelCol="treat", regParam=1.0 / s["n"], standardization=False).fit(x)
-    return spark.createDataFrame([("const", float(fit.intercept)), ("o_totalprice", float(fit.coefficients[0]))], "term string, coef double")
