@@ -398,7 +398,8 @@ def _open_pairs(members: DataFrame, roots: DataFrame, shown: DataFrame, threshol
 
     Of each member's pairs in a bucket the `width` with the least bounds are given (all for None). The members of a
     bucket's largest class are dealt into blocks 0 to c, all others into blocks c + 1 and on; a tile is any two blocks but
-    two of the former. Of buckets with the same members one is looked at.
+    two of the former. Of buckets with the same members one is looked at, and of all that a pair shares only the least
+    gives it, so a pair comes out once however many sketches agree.
     """
     root = roots.select(F.col("node").alias("rep"), "root")
     members = members if wide is None else members.join(wide, "bucket", "left_semi")
@@ -417,8 +418,9 @@ def _open_pairs(members: DataFrame, roots: DataFrame, shown: DataFrame, threshol
     others = F.sequence(F.when(inside, F.col("of_main")).otherwise(0), F.col("of_main") + F.col("of_rest") - 1)
     meets = placed.withColumn("with", F.explode(others)).select("bucket", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "rep", "root")
     tasks = int(meets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work follows a tile's pairs, not its bytes
-    full = meets.join(shown, "rep").repartition(tasks, "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "n")
-    return full.select("bucket", "one", "two", "block", "rep", "root", "n", "histogram").mapInArrow(_bounded(threshold, width), "a bigint, b bigint, bucket bigint").distinct()
+    own = mixed.groupBy("rep").agg(F.collect_set("bucket").alias("own"))  # no more than a text has sketches
+    full = meets.join(shown.join(own, "rep"), "rep").repartition(tasks, "bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "n")
+    return full.select("bucket", "one", "two", "block", "rep", "root", "n", "histogram", "own").mapInArrow(_bounded(threshold, width), "a bigint, b bigint, bucket bigint").distinct()
 
 
 @dataclass
@@ -432,12 +434,24 @@ class _Rows:
     root: np.ndarray
     n: np.ndarray
     histogram: np.ndarray
+    own: list[np.ndarray]  # the buckets that are looked at and that the row is in
     within: np.ndarray  # whether the tile is a block with itself
 
     def __post_init__(self):
         # folded cells give a weaker bound, and leave few pairs to the others
         self.cells = [self.histogram.reshape(len(self.histogram), k, -1).sum(2, dtype=np.int16) for k in COARSE] + [self.histogram]
 
+    def given_here(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the pairs' buckets are the least that both rows are in."""
+        sets: dict[int, frozenset[int]] = {}
+
+        def of(k: int) -> frozenset[int]:
+            if k not in sets:
+                sets[k] = frozenset(self.own[k].tolist())
+            return sets[k]
+
+        return np.fromiter((min(of(i) & of(j)) == k for i, j, k in zip(a.tolist(), b.tolist(), self.bucket[a].tolist())), bool, len(a))
+
     def slack(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
         """How many edits the threshold allows."""
         return (1 - threshold) * np.maximum(self.n[a], self.n[b]) + 1e-9
@@ -464,6 +478,8 @@ def _bounded(threshold: float, width: int | None):
             parts = [_in_small_tiles(rows, starts, ends, threshold)]
             parts += [_in_tile(rows, a, b, threshold) for a, b in zip(starts.tolist(), ends.tolist()) if b - a > FEW_ROWS]
             a, b, low = (np.concatenate(x) for x in zip(*parts))
+            here = rows.given_here(a, b)
+            a, b, low = a[here], b[here], low[here]
             first = np.ones(len(a), bool) if width is None else _is_first(a, low, width) | _is_first(b, low, width)
             one, two, more = rows.rep[a[first]], rows.rep[b[first]], np.unique(rows.bucket[a[~first]])
             pairs, gap = [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], pa.nulls(len(more), pa.int64())
@@ -479,15 +495,18 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
     size = 0
 
     def made(columns: list[np.ndarray]) -> _Rows:
-        bucket, one, two, block, rep, root, n, histogram = columns
+        bucket, one, two, block, rep, root, n, histogram, own = columns
         new = np.r_[True, (bucket[1:] != bucket[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
-        return _Rows(bucket, np.cumsum(new), block, rep, root, n, histogram, one == two)
+        return _Rows(bucket, np.cumsum(new), block, rep, root, n, histogram, own, one == two)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         hist = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
-        held.append([*[batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)], hist])
+        lists = batch.column(8)
+        ends, flat, own = lists.offsets.to_numpy(), lists.values.to_numpy(), np.empty(batch.num_rows, object)
+        own[:] = [flat[a:b] for a, b in zip(ends, ends[1:])]
+        held.append([*[batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)], hist, own])
         size += batch.num_rows
         if size >= HELD_ROWS:
             columns = [np.concatenate(c) for c in zip(*held)]
