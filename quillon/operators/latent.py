@@ -157,6 +157,88 @@ def xd_mixture(df: DataFrame, axes: list[str], noise: list[str], start: np.ndarr
     return {"pi": pi, "mu": mu, "V": v, "loglik": ll, "bic": -2 * ll + p * np.log(n), "n_iter": it}
 
 
+def xd_fixed(df: DataFrame, axes: list[str], noise: list[str], label: str, iterations: int = 60, reg: float = 1e-4) -> dict:
+    """Deconvolved normal components of a given partition: the mixture's likelihood with each row's component pinned to its label.
+
+    A pass returns, for each label, sums of posterior means and second moments, as `xd_mixture` does. Labels are few.
+    """
+    stats = df.groupBy(label).agg(F.count("*").alias("n"), *[F.avg(a).alias(f"m{i}") for i, a in enumerate(axes)], *[F.covar_samp(a, b).alias(f"c{i}_{j}") for i, a in enumerate(axes) for j, b in enumerate(axes)]).orderBy(label).collect()
+    k, d = len(stats), len(axes)
+    n = sum(r["n"] for r in stats)
+    pi, mu = np.array([r["n"] / n for r in stats]), np.array([[r[f"m{i}"] for i in range(d)] for r in stats], dtype=float)
+    v = np.stack([np.array([[r[f"c{i}_{j}"] for j in range(d)] for i in range(d)], dtype=float) + reg * np.eye(d) if r["n"] > d else np.eye(d) for r in stats])
+    code = F.array_position(F.lit([r[label] for r in stats]), F.col(label)) - 1
+    rows = df.select(*axes, *noise, code.cast("double").alias("_c"))
+    ll = 0.0
+    for _ in range(iterations):
+
+        def step(m: np.ndarray, mu=mu, v=v) -> np.ndarray:
+            x, s, c = m[:, :d], m[:, d : 2 * d] ** 2, m[:, -1].astype(int)
+            log, first, second = np.empty((len(x), k)), np.zeros((k, d)), np.zeros((k, d, d))
+            for j in range(k):
+                t = np.linalg.inv(v[j][None] + np.einsum("nd,de->nde", s, np.eye(d)))
+                diff = x - mu[j]
+                log[:, j] = np.log(pi[j] + 1e-300) - 0.5 * (d * np.log(2 * np.pi) - np.linalg.slogdet(t)[1] + np.einsum("nd,nde,ne->n", diff, t, diff))
+                own = c == j
+                g = v[j][None] @ t[own]
+                b = mu[j] + np.einsum("nde,ne->nd", g, diff[own])
+                first[j] = b.sum(0)
+                second[j] = (v[j][None] - g @ v[j][None]).sum(0) + b.T @ b
+            top = log.max(1, keepdims=True)
+            return np.concatenate([[float((top[:, 0] + np.log(np.exp(log - top).sum(1))).sum())], first.ravel(), second.ravel()])
+
+        total = _partials(rows, [*axes, *noise, "_c"], step, 1 + k * d + k * d * d)
+        ll, counts = total[0], pi * n
+        mu = total[1 : 1 + k * d].reshape(k, d) / counts[:, None]
+        v = total[1 + k * d :].reshape(k, d, d) / counts[:, None, None] - np.einsum("kd,ke->kde", mu, mu) + reg * np.eye(d)
+    p = (k - 1) + k * d + k * d * (d + 1) // 2
+    return {"labels": [r[label] for r in stats], "pi": pi, "mu": mu, "V": v, "loglik": ll, "bic": -2 * ll + p * np.log(n)}
+
+
+def responsibilities(df: DataFrame, key: str, axes: list[str], noise: list[str], model: dict) -> DataFrame:
+    """key, weights: each row's posterior shares of a mixture's components, under its own noise."""
+    pi, mu, v = model["pi"], model["mu"], model["V"]
+    k, d = mu.shape
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            x, s = _matrix(rows, axes), _matrix(rows, noise) ** 2
+            log = np.empty((len(x), k))
+            for j in range(k):
+                t = np.linalg.inv(v[j][None] + np.einsum("nd,de->nde", s, np.eye(d)))
+                diff = x - mu[j]
+                log[:, j] = np.log(pi[j] + 1e-300) + 0.5 * (np.linalg.slogdet(t)[1] - np.einsum("nd,nde,ne->n", diff, t, diff))
+            w = np.exp(log - log.max(1, keepdims=True))
+            yield pd.DataFrame({key: rows[key], "weights": list(w / w.sum(1, keepdims=True))})
+
+    return df.select(key, *axes, *noise).mapInPandas(run, f"{key} bigint, weights array<double>")
+
+
+def choose_groups(df: DataFrame, key: str, axes: list[str], noise: list[str], ks: range, seeds: tuple[int, ...] = (1, 2), iterations: int = 20) -> DataFrame:
+    """k, bic, confident, seed_ari and chosen: the least k with half of the rows confident and partitions that agree between starts.
+
+    Starts are rows in the order of digests of the key and the seed.
+    """
+    from quillon.operators.aggregate import adjusted_rand
+
+    def started(k: int, seed: int) -> np.ndarray:
+        picked = df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(k).select(*axes).collect()
+        return np.array([[r[a] for a in axes] for r in picked], dtype=float)
+
+    rows = []
+    for k in ks:
+        fits = [xd_mixture(df, axes, noise, started(k, s), iterations) for s in (0, *seeds)]
+        parts = [responsibilities(df, key, axes, noise, f) for f in fits]
+        label = lambda p: F.array_position(p, F.array_max(p))
+        confident = parts[0].agg(F.avg((F.array_max("weights") > 0.5).cast("double")).alias("c")).first()["c"]
+        base = parts[0].select(key, label(F.col("weights")).alias("a"))
+        aris = [adjusted_rand(base.join(p.select(key, label(F.col("weights")).alias("b")), key), "a", "b").first()["ari"] for p in parts[1:]]
+        rows.append((k, float(fits[0]["bic"]), float(confident), float(np.mean([1.0 if a is None else a for a in aris]))))
+    good = [r for r in rows if r[2] >= 0.5 and r[3] >= 0.8]
+    chosen = min(good)[0] if good else max(rows, key=lambda r: r[2])[0]
+    return df.sparkSession.createDataFrame([(*r, chosen) for r in rows], "k int, bic double, confident double, seed_ari double, chosen int")
+
+
 def factor_em(df: DataFrame, items: list[str], factors: int, iterations: int = 30, seed: int = 0) -> dict:
     """Maximum-likelihood loadings and noise of standardised items with missing cells, by EM: the map without its posterior.
 

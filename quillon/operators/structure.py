@@ -1,4 +1,4 @@
-"""Structure of the latent cloud, archetypes, components of variance, permutation and likelihood-ratio tests, provenance."""
+"""Structure of the latent cloud, archetypes, components of variance, permutations, frozen maps, provenance."""
 
 from __future__ import annotations
 
@@ -23,17 +23,20 @@ def structure_verdict(hopkins: Column, silhouette: Column, bic_falls: Column, ga
     return score, F.when((score >= 4) & (silhouette > 0.2), "clustered").when((score <= 2) | (silhouette < 0.15), "continuum").otherwise("weak/ambiguous (lean continuum)")
 
 
-def hopkins(df: DataFrame, key: str, axes: list[str], sample: int = 100) -> DataFrame:
-    """hopkins: u / (u + w) of nearest-neighbour distances from uniform points and from sampled rows.
+def hopkins(df: DataFrame, key: str, axes: list[str], sample: int = 150, repeats: int = 5) -> DataFrame:
+    """hopkins: u / (u + w) of nearest-neighbour distances from uniform points and from sampled rows, the mean of `repeats`.
 
-    The sample (in the order of the key's digest) and the uniform points (inside the axes' ranges, from digests) are a
-    stated number of points; they meet all rows in batches, and minima are taken map-side.
+    The samples (in the order of digests of the key and the repeat) and the uniform points (inside the axes' ranges, from
+    digests) are a stated number of points; they meet all rows in batches, and minima are taken map-side.
     """
     lo_hi = df.agg(*[F.struct(F.min(a).alias("lo"), F.max(a).alias("hi")).alias(a) for a in axes]).first()
-    picked = df.orderBy(F.md5(F.col(key).cast("string")), key).limit(sample).select(key, *axes).collect()
-    rows = np.array([[r[a] for a in axes] for r in picked], dtype=float)
-    keys = np.array([r[key] for r in picked])
-    unit = np.array([[int(hashlib.md5(f"{k}|{a}".encode()).hexdigest()[:12], 16) / 16**12 for a in axes] for k in range(len(rows))])
+    picked = [(k, r) for k in range(repeats) for r in df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(k)))), key).limit(sample).select(key, *axes).collect()]
+    rows = np.array([[r[a] for a in axes] for _, r in picked], dtype=float)
+    keys = np.array([r[key] for _, r in picked])
+    turn, place = np.array([k for k, _ in picked]), [0] * len(picked)
+    for i in range(1, len(picked)):
+        place[i] = place[i - 1] + 1 if turn[i] == turn[i - 1] else 0
+    unit = np.array([[int(hashlib.md5(f"{k}|{p}|{a}".encode()).hexdigest()[:12], 16) / 16**12 for a in axes] for k, p in zip(turn.tolist(), place)])
     box = np.array([[lo_hi[a]["lo"], lo_hi[a]["hi"]] for a in axes], dtype=float)
     points = box[:, 0] + unit * (box[:, 1] - box[:, 0])
 
@@ -44,10 +47,10 @@ def hopkins(df: DataFrame, key: str, axes: list[str], sample: int = 100) -> Data
             dw = ((rows[:, None] - x[None]) ** 2).sum(2)
             dw[keys[:, None] == b[key].to_numpy()[None]] = np.inf
             w, u = np.minimum(w, dw.min(1, initial=np.inf)), np.minimum(u, ((points[:, None] - x[None]) ** 2).sum(2).min(1, initial=np.inf))
-        yield pd.DataFrame({"k": np.arange(len(rows)), "u": u, "w": w})
+        yield pd.DataFrame({"k": np.arange(len(rows)), "turn": turn, "u": u, "w": w})
 
-    near = df.select(key, *axes).mapInPandas(run, "k long, u double, w double").groupBy("k").agg(F.sqrt(F.min("u")).alias("u"), F.sqrt(F.min("w")).alias("w"))
-    return near.agg((F.sum("u") / (F.sum("u") + F.sum("w"))).alias("hopkins"))
+    near = df.select(key, *axes).mapInPandas(run, "k long, turn long, u double, w double").groupBy("k", "turn").agg(F.sqrt(F.min("u")).alias("u"), F.sqrt(F.min("w")).alias("w"))
+    return near.groupBy("turn").agg((F.sum("u") / (F.sum("u") + F.sum("w"))).alias("h")).agg(F.avg("h").alias("hopkins"))
 
 
 def archetypes(df: DataFrame, axes: list[str], start: np.ndarray, iterations: int = 20, inner: int = 150) -> dict:
@@ -128,6 +131,12 @@ def copula_forward(df: DataFrame, item: str, knots: DataFrame) -> DataFrame:
     return j.withColumn(f"{item}_z", z).drop("_k")
 
 
+def copula_inverse(df: DataFrame, z: str, knots: DataFrame, name: str) -> DataFrame:
+    """df with `name`: the value whose forward map is z, piecewise linear between the knots, clamped to their support."""
+    turned = knots.select("k", F.col("z").alias("x"), F.col("x").alias("z"))
+    return copula_forward(df, z, turned).withColumnRenamed(f"{z}_z", name)
+
+
 def incremental_r2(df: DataFrame, y: str, base: str, extra: str) -> DataFrame:
     """n, r2_base, r2_full, gain of y ~ base and y ~ base + extra, from one set of moments."""
     d = df.where(F.col(y).isNotNull() & F.col(base).isNotNull() & F.col(extra).isNotNull())
@@ -197,5 +206,85 @@ def cache_key(*parts: object) -> str:
 
 def index_hash(df: DataFrame, keys: list[str]) -> DataFrame:
     """n, digest of the set of keys with multiplicities, without an order: sums of row digests, so no task gathers them."""
-    h = F.xxhash64(*keys).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("n"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.sum(h).cast("string"), F.bit_xor(F.xxhash64(*keys, F.lit(1))).cast("string")), 256).alias("digest"))
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+    half = lambda at: F.sum(F.conv(F.substring(digest, at, 12), 16, 10).cast("decimal(15,0)")).cast("string")
+    return df.agg(F.count("*").alias("n"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), half(1), half(13)), 256).alias("digest"))
+
+
+def gap_statistic(df: DataFrame, axes: list[str], most: int = 8, references: int = 5, seed: int = 1) -> DataFrame:
+    """k, log_w, gap, s and k_best: k-means costs against those of uniform references of as many rows in the axes' box.
+
+    The best k is the least whose gap reaches the next one's less its deviation. References come from hashes of the rows'
+    numbers, so they are as large as the table and as widely spread.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    data = df.where(F.expr(" and ".join(f"{a} is not null" for a in axes))).select(*axes)
+    box = data.agg(F.count("*").alias("n"), *[F.struct(F.min(a).alias("lo"), F.max(a).alias("hi")).alias(a) for a in axes]).first()
+    spark = df.sparkSession
+
+    def cost(x: DataFrame, k: int) -> float:
+        return float(np.log(max(KMeans(k=k, seed=seed).fit(x).summary.trainingCost, 1e-12)))
+
+    def costs(rows: DataFrame) -> list[float]:
+        x = VectorAssembler(inputCols=axes, outputCol="features").transform(rows).select("features").persist()
+        alone = rows.agg(*[F.var_pop(a).alias(a) for a in axes]).first()
+        out = [float(np.log(max(box["n"] * sum(alone[a] for a in axes), 1e-12)))] + [cost(x, k) for k in range(2, most + 1)]
+        x.unpersist()
+        return out
+
+    own = np.array(costs(data))
+    unit = lambda a, b: F.pmod(F.xxhash64("id", F.lit(a), F.lit(b)), F.lit(1 << 40)) / float(1 << 40)
+    refs = np.array([costs(spark.range(box["n"]).select(*[(box[a]["lo"] + (box[a]["hi"] - box[a]["lo"]) * unit(a, b)).alias(a) for a in axes])) for b in range(references)])
+    gap, s = refs.mean(0) - own, refs.std(0) * np.sqrt(1 + 1 / references)
+    best = next((k + 1 for k in range(most - 1) if gap[k] >= gap[k + 1] - s[k + 1]), most)
+    return spark.createDataFrame([(k + 1, float(own[k]), float(gap[k]), float(s[k]), best) for k in range(most)], "k int, log_w double, gap double, s double, k_best int")
+
+
+def coverage_artefact(df: DataFrame, key: str, label: str, counts: list[str], trees: int = 20, folds: int = 4, permutations: int = 20) -> DataFrame:
+    """n, accuracy, majority, lift, balanced, macro_f1 and p: whether labels can be told from what was observed alone.
+
+    A random forest predicts the labels from coverage counts, out of fold; p is the share of label permutations whose
+    balanced accuracy reaches the real one's. Confusions are a row for each two labels.
+    """
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from quillon.operators.metrics import stratified_folds
+
+    levels = sorted(r[0] for r in df.select(label).distinct().where(F.col(label).isNotNull()).collect())  # a clustering's labels
+    code = F.array_position(F.lit(levels), F.col(label)) - 1
+    rows = stratified_folds(df.where(F.col(label).isNotNull()).withColumn("_y", code.cast("double")), key, [label], folds)
+    x = VectorAssembler(inputCols=counts, outputCol="features").transform(rows).select(key, "_y", "fold", "features").persist()
+
+    def confusion(d: DataFrame) -> np.ndarray:
+        out = np.zeros((len(levels), len(levels)))
+        for f in range(folds):
+            model = RandomForestClassifier(labelCol="_y", numTrees=trees, maxDepth=5, seed=1).fit(d.where(F.col("fold") != f))
+            for r in model.transform(d.where(F.col("fold") == f)).groupBy("_y", "prediction").count().collect():
+                out[int(r["_y"]), int(r["prediction"])] += r["count"]
+        return out
+
+    real = confusion(x)
+    balanced = lambda c: float(np.mean(np.diag(c) / np.maximum(c.sum(1), 1)))
+    null = [balanced(confusion(permuted(x, key, "_y", k).persist())) for k in range(permutations)]
+    x.unpersist()
+    n, hit = real.sum(), np.diag(real)
+    f1 = float(np.mean(2 * hit / np.maximum(real.sum(0) + real.sum(1), 1)))
+    share, top = float(hit.sum() / max(n, 1)), float(real.sum(1).max() / max(n, 1))
+    p = float(np.mean([b >= balanced(real) for b in null])) if null else None
+    return df.sparkSession.createDataFrame([(int(n), share, top, share - top, balanced(real), 1.0 / len(levels), f1, p)], "n long, accuracy double, majority double, lift double, balanced double, chance double, macro_f1 double, p double")
+
+
+def cached_stage(spark, root: str, stage: str, key: str, build) -> DataFrame:
+    """The table that `build` makes, written under root/stage/key; read again where a run with this key has ended.
+
+    A run that broke off has not left the writer's mark of success, so its files are written over.
+    """
+    path = f"{root.rstrip('/')}/{stage}/{key}"
+    jvm = spark._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

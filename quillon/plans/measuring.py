@@ -23,18 +23,35 @@ def _cells(spark, d):
     return z.select("patient", "visit_no", *[((F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s")).alias(c) for c in items]), items
 
 
-@query("conditional_scores")
+_ITEMS = ("mean_price", "max_price", "urgent_price", "low_price")
+
+
+def _of_cells(term: str) -> str:
+    """SQL: the sum of a term over a row's observed items; {x} the standardised cell, {a}, {b}, {s} its loadings and deviation."""
+    return " + ".join("coalesce(" + term.format(x=f"z{k}", a=f"{LAM[k, 0]}::DOUBLE", b=f"{LAM[k, 1]}::DOUBLE", s=f"{SIGMA[k]}::DOUBLE") + ", 0)" for k in range(4))
+
+
+#: z-scores of the panel's items, the factors' posterior precision (pa, pb, pc) and weighted sums (ba, bb), from what a row has.
+CELLS_SQL = f"""{PANEL_SQL}, mo AS (SELECT {", ".join(f"avg({c}) m{k}, stddev_samp({c}) s{k}" for k, c in enumerate(_ITEMS))} FROM panel), z AS (SELECT patient, visit_no, {", ".join(f"({c} - m{k}) / s{k} AS z{k}" for k, c in enumerate(_ITEMS))} FROM panel, mo),
+ q AS (SELECT *, 1 / 0.91::DOUBLE + {_of_cells('{a} * {a} / ({s} * {s}) * CAST({x} IS NOT NULL AS INTEGER)')} AS pa, -0.3 / 0.91::DOUBLE + {_of_cells('{a} * {b} / ({s} * {s}) * CAST({x} IS NOT NULL AS INTEGER)')} AS pb, 1 / 0.91::DOUBLE + {_of_cells('{b} * {b} / ({s} * {s}) * CAST({x} IS NOT NULL AS INTEGER)')} AS pc,
+ {_of_cells('{x} * {a} / ({s} * {s})')} AS ba, {_of_cells('{x} * {b} / ({s} * {s})')} AS bb, {_of_cells('{x} * {x} / ({s} * {s})')} AS xx, {_of_cells('ln({s} * {s}) * CAST({x} IS NOT NULL AS INTEGER)')} AS lp, {" + ".join(f"CAST(z{k} IS NOT NULL AS INTEGER)" for k in range(4))} AS n_obs FROM z), c AS (SELECT *, pa * pc - pb * pb AS det FROM q)"""
+Z97 = 1.8807936081512509
+
+
+@query("conditional_scores", f"""WITH {CELLS_SQL}, f AS (SELECT *, (pc * ba - pb * bb) / det AS mg, (pa * bb - pb * ba) / det AS ms, sqrt(pc / det) AS sg, sqrt(pa / det) AS ss FROM c)
+SELECT patient, visit_no, round(mg, 6) AS g__mean, round(sg, 6) AS g__sd, round(mg - {Z97} * sg, 6) AS g__hdi_lo, round(mg + {Z97} * sg, 6) AS g__hdi_hi, round(ms, 6) AS s__mean, round(ss, 6) AS s__sd, round(ms - {Z97} * ss, 6) AS s__hdi_lo, round(ms + {Z97} * ss, 6) AS s__hdi_hi, CAST(n_obs AS BIGINT) AS n_obs FROM f""")
 def _q1(spark, d):
-    """Posterior mean, deviation and interval of two factors for every row, from what it has."""
+    """Posterior mean, deviation and interval of two factors for every row, from what it has."""
     x, items = _cells(spark, d)
-    return m.conditional_scores(x, ["patient", "visit_no"], items, LAM, PHI, SIGMA, ["g", "s"])
+    out = m.conditional_scores(x, ["patient", "visit_no"], items, LAM, PHI, SIGMA, ["g", "s"])
+    return out.select("patient", "visit_no", *[F.round(c, 6).alias(c) for c in out.columns[2:-1]], "n_obs")
 
 
-@query("observed_loglik")
+@query("observed_loglik", f"""WITH {CELLS_SQL} SELECT patient, visit_no, round(-0.5 * (n_obs * ln(2 * pi()) + lp + ln(0.91 * det) + xx - (ba * (pc * ba - pb * bb) + bb * (pa * bb - pb * ba)) / det), 5) AS loglik FROM c""")
 def _q2(spark, d):
     """M4, M5, M6."""
     x, items = _cells(spark, d)
-    return m.observed_loglik(x, ["patient", "visit_no"], items, LAM, PHI, SIGMA)
+    return m.observed_loglik(x, ["patient", "visit_no"], items, LAM, PHI, SIGMA).withColumn("loglik", F.round("loglik", 5))
 
 
 @query("simplex_projection")
@@ -123,30 +140,35 @@ def _q11(spark, d):
 
 @query("kmeans_silhouette")
 def _q12(spark, d):
-    """K-means for two to four groups and their silhouettes (squared Euclidean)."""
+    """K-means for 2 to 12 groups, their silhouettes (squared Euclidean) and the best number."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import VectorAssembler
 
     x = VectorAssembler(inputCols=["x0", "x1", "x2"], outputCol="features").transform(latent(spark, d, 3)).cache()
-    rows = [(k, float(ClusteringEvaluator().evaluate(KMeans(k=k, seed=1).fit(x).transform(x)))) for k in (2, 3, 4)]
+    rows = [(k, float(ClusteringEvaluator().evaluate(KMeans(k=k, seed=1).fit(x).transform(x)))) for k in range(2, 13)]
     x.unpersist()
-    return spark.createDataFrame(rows, "k int, silhouette double")
+    best = max(rows, key=lambda kv: kv[1])[0]
+    return spark.createDataFrame([(*kv, best) for kv in rows], "k int, silhouette double, k_best int")
 
 
 @query("gmm_bic")
 def _q13(spark, d):
-    """S3: BIC of full-covariance mixtures."""
+    """S3: BIC of full-covariance mixtures of 1 to 12 groups, the gain over one, the best number, whether it only falls."""
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
 
     x = VectorAssembler(inputCols=["x0", "x1"], outputCol="features").transform(latent(spark, d, 2)).cache()
     n, rows = x.count(), []
-    for k in (2, 3, 4):
-        ll = GaussianMixture(k=k, seed=1, maxIter=40).fit(x).summary.logLikelihood
+    m1 = x.agg(F.var_pop("x0").alias("a"), F.var_pop("x1").alias("b"), F.covar_pop("x0", "x1").alias("c")).first()
+    one = -n / 2 * (2 * np.log(2 * np.pi) + np.log(m1["a"] * m1["b"] - m1["c"] ** 2) + 2)  # a single normal, in closed form
+    for k in range(1, 13):
+        ll = one if k == 1 else GaussianMixture(k=k, seed=1, maxIter=40).fit(x).summary.logLikelihood
         rows.append((k, float(-2 * ll + ((k - 1) + k * 2 + k * 3) * np.log(n))))
     x.unpersist()
-    return spark.createDataFrame(rows, "k int, bic double")
+    bic = [b for _, b in rows]
+    best, falls = rows[int(np.argmin(bic))][0], all(b < a for a, b in zip(bic, bic[1:]))
+    return spark.createDataFrame([(k, b, bic[0] - b, best, falls) for k, b in rows], "k int, bic double, gain double, k_best int, falls boolean")
 
 
 @query("density_grid", f"""WITH {LATENT_SQL} SELECT CAST(floor((x0 + 0.5) / 0.1) AS INTEGER) AS i, CAST(floor((x1 + 0.5) / 0.1) AS INTEGER) AS j, count(*) AS n FROM latent GROUP BY ALL""")
