@@ -41,7 +41,7 @@ from quillon.runtime import cut, forget, ship
 #: Labelled rows to learn from, at most.
 MAX_ROWS = 20_000
 #: Mined terms, at most, and the lengths of word beginnings that are tried.
-MAX_TERMS, SHORTEST, LONGEST = 96, 3, 10
+MAX_TERMS, SHORTEST, LONGEST = 96, 4, 10
 #: The share of a text's words from which a term counts as dense.
 DENSE = 0.008
 #: A term is mined if its share of toxic texts is at least this many times its share of others, and its likelihood ratio
@@ -98,10 +98,13 @@ class LabelModel:
         self.table = np.stack(of)
 
     @classmethod
-    def fit(cls, votes: np.ndarray, rounds: int = 3, steps: int = 15) -> LabelModel:
-        """The first round takes voters as independent given the class; each later one finds the forest anew."""
+    def fit(cls, votes: np.ndarray, rounds: int = 3, steps: int = 15, start: np.ndarray | None = None) -> LabelModel:
+        """The first round takes voters as independent given the class; each later one finds the forest anew.
+
+        start: first guesses of the rows' probabilities; by default the majority of their votes.
+        """
         model = cls(parent=np.full(votes.shape[1], -1))
-        p = np.clip(0.5 + 0.45 * np.sign((votes > 0).sum(1) - (votes < 0).sum(1)), 0.02, 0.98)
+        p = np.clip(0.5 + 0.45 * np.sign((votes > 0).sum(1) - (votes < 0).sum(1)) if start is None else start, 0.02, 0.98)
         for k in range(rounds):
             if k:
                 model.parent = forest(votes, p)
@@ -281,7 +284,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
         return by_rule
     votes = np.stack([np.frombuffer(r["v"], np.int8) for r in rows]).astype(np.int64)
     feats = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(float)
-    model = LabelModel.fit(votes)
+    # terms name the class; patterns such as shouting go along with it or not, as the model finds
+    model = LabelModel.fit(votes, start=0.05 + 0.9 * votes[:, : len(terms)].any(1))
     return ToxicityModel(terms, logistic(feats, model.posterior(votes), l2=1e-4, towards=by_rule.coef), model)
 
 
