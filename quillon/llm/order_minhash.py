@@ -39,6 +39,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -450,7 +451,11 @@ class _Rows:
                 sets[k] = frozenset(self.own[k].tolist())
             return sets[k]
 
-        return np.fromiter((min(of(i) & of(j)) == k for i, j, k in zip(a.tolist(), b.tolist(), self.bucket[a].tolist())), bool, len(a))
+        out = np.empty(len(a), bool)
+        for k in range(0, len(a), 65_536):
+            s = slice(k, k + 65_536)
+            out[s] = [min(of(i) & of(j)) == bucket for i, j, bucket in zip(a[s].tolist(), b[s].tolist(), self.bucket[a[s]].tolist())]
+        return out
 
     def slack(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
         """How many edits the threshold allows."""
@@ -475,20 +480,22 @@ def _bounded(threshold: float, width: int | None):
         for rows in _whole_tiles(batches):
             starts = np.flatnonzero(np.r_[True, rows.tile[1:] != rows.tile[:-1]])
             ends = np.r_[starts[1:], len(rows.tile)]
-            parts = [_in_small_tiles(rows, starts, ends, threshold)]
-            parts += [_in_tile(rows, a, b, threshold) for a, b in zip(starts.tolist(), ends.tolist()) if b - a > FEW_ROWS]
-            a, b, low = (np.concatenate(x) for x in zip(*parts))
-            here = rows.given_here(a, b)
-            a, b, low = a[here], b[here], low[here]
-            first = np.ones(len(a), bool) if width is None else _is_first(a, low, width) | _is_first(b, low, width)
-            one, two, more = rows.rep[a[first]], rows.rep[b[first]], np.unique(rows.bucket[a[~first]])
-            pairs, gap = [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], pa.nulls(len(more), pa.int64())
-            columns = [pa.concat_arrays([pairs[0], gap]), pa.concat_arrays([pairs[1], gap]), pa.concat_arrays([pa.nulls(len(one), pa.int64()), pa.array(more, pa.int64())])]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "bucket"])
+            large = [(a, b) for a, b in zip(starts.tolist(), ends.tolist()) if b - a > FEW_ROWS]
+            for a, b, more in chain([_in_small_tiles(rows, starts, ends, threshold, width)], *[_in_tile(rows, *t, threshold, width) for t in large]):
+                here = rows.given_here(a, b)
+                one, two = rows.rep[a[here]], rows.rep[b[here]]
+                yield _as_batch(one, two, more)
 
     return run
 
 
+def _as_batch(one: np.ndarray, two: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    """Pairs, and after them the buckets that have more."""
+    pairs, gap = [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], pa.nulls(len(more), pa.int64())
+    columns = [pa.concat_arrays([pairs[0], gap]), pa.concat_arrays([pairs[1], gap]), pa.concat_arrays([pa.nulls(len(one), pa.int64()), pa.array(more, pa.int64())])]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", "bucket"])
+
+
 def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
     """The rows of a partition, which is ordered by tiles, in lots of about HELD_ROWS; a tile is never parted."""
     held: list[list[np.ndarray]] = []
@@ -519,31 +526,44 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
         yield made([np.concatenate(c) for c in zip(*held)])
 
 
-def _in_small_tiles(rows: _Rows, starts: np.ndarray, ends: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, bound) of open pairs in all tiles of at most FEW_ROWS rows at once."""
+def _in_small_tiles(rows: _Rows, starts: np.ndarray, ends: np.ndarray, threshold: float, width: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, buckets that have more) of open pairs in all tiles of at most FEW_ROWS rows at once."""
     sizes = ends - starts
     end = np.repeat(ends, sizes)
     after = np.where(np.repeat(sizes <= FEW_ROWS, sizes), end - np.arange(len(end)) - 1, 0)
     a = np.repeat(np.arange(len(end)), after)
     b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after) - after, after)
     keep = (rows.root[a] != rows.root[b]) & (rows.within[a] | (rows.block[a] != rows.block[b])) & (np.abs(rows.n[a] - rows.n[b]) <= rows.slack(a, b, threshold))
-    return rows.least(a[keep], b[keep], threshold)
+    a, b, low = rows.least(a[keep], b[keep], threshold)
+    first = np.ones(len(a), bool) if width is None else _is_first(a, low, width) | _is_first(b, low, width)
+    return a[first], b[first], np.unique(rows.bucket[a[~first]])
 
 
-def _in_tile(rows: _Rows, start: int, end: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, bound) of open pairs in one tile, row by row; rows of its largest class need no turn, as every pair has another."""
+def _in_tile(rows: _Rows, start: int, end: int, threshold: float, width: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As above in one tile, in lots of about HELD_ROWS pairs, row by row: of each row's pairs in its turn the least ones.
+
+    Rows of the tile's largest class need no turn, as every pair has another.
+    """
     n, root, block = rows.n[start:end], rows.root[start:end], rows.block[start:end]
     names, sizes = np.unique(root, return_counts=True)
     main = names[sizes.argmax()]
-    found = [(np.zeros(0, np.int64),) * 3]
+    found, held, none = [], 0, rows.bucket[:0]
     for f in np.flatnonzero(root != main):
         lo = np.searchsorted(n, threshold * n[f] - 1e-9, side="left")
         hi = np.searchsorted(n, n[f] / threshold + 1e-9, side="right")
         at = np.arange(lo, hi)
         at = at[(root[at] != root[f]) & (rows.within[start] | (block[at] != block[f])) & ((root[at] == main) | (at > f))]
         if len(at):
-            found.append(rows.least(np.full(len(at), start + f), start + at, threshold))
-    return tuple(np.concatenate(x) for x in zip(*found))
+            a, b, low = rows.least(np.full(len(at), start + f), start + at, threshold)
+            best = slice(None) if width is None or len(a) <= width else np.argsort(low, kind="stable")[:width]
+            found.append((a[best], b[best], none if width is None or len(a) <= width else rows.bucket[start : start + 1]))
+            held += len(found[-1][0])
+            if held >= HELD_ROWS:
+                yield tuple(np.concatenate(x) for x in zip(*found))
+                found, held = [], 0
+    if found:
+        a, b, more = (np.concatenate(x) for x in zip(*found))
+        yield a, b, np.unique(more)
 
 
 def _is_first(row: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
