@@ -171,3 +171,9 @@ def best_power(df: DataFrame, item: str, low: float = -2.0, high: float = 4.0, s
     n = F.col("n").cast("double")
     ll = -n / 2 * F.log(F.col("s2") / n - (F.col("s") / n) ** 2) + (F.col("power") - 1) * F.col("j")
     return t.select("n", "power", ll.alias("loglik")).orderBy(F.desc("loglik"), "power").limit(1)
+
+
+def convergence_gate(r_hat: Column, effective: Column, divergences: Column) -> Column:
+    """clean, usable or fail, from the worst of R-hat, effective sample size and the number of divergent draws."""
+    fail = (r_hat > 1.05) | (effective < 100) | (divergences > 2)
+    return F.when(fail, "fail").when((r_hat > 1.01) | (effective < 400) | (divergences > 0), "usable").otherwise("clean")

@@ -288,3 +288,37 @@ def cached_stage(spark, root: str, stage: str, key: str, build) -> DataFrame:
     if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def align(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """For each row of a the row of b that it is matched with, each once, at the least summed squared distance; exact.
+
+    By subsets of b's rows, so for the few components of a model (some sixteen at most).
+    """
+    n = len(a)
+    cost = ((a[:, None] - b[None]) ** 2).sum(2)
+    best = {0: (0.0, ())}
+    for i in range(n):
+        step: dict[int, tuple[float, tuple[int, ...]]] = {}
+        for used, (total, taken) in best.items():
+            for j in range(len(b)):
+                if not used >> j & 1:
+                    key, value = used | 1 << j, (total + cost[i, j], (*taken, j))
+                    if key not in step or value < step[key]:
+                        step[key] = value
+        best = step
+    return list(min(best.values())[1])
+
+
+def mapper_graph(df: DataFrame, key: str, lens: str, inside: str, step: float, overlap: float, cell: float) -> tuple[DataFrame, DataFrame]:
+    """(nodes: node, n; edges: a, b, n) of a cover of the lens by intervals of `step` that reach `overlap` into the next.
+
+    In an interval rows are one node where the other axis falls in one cell; nodes are linked by the rows that they share.
+    """
+    from quillon.operators.aggregate import shared_members
+
+    at = F.floor(F.col(lens) / step)
+    near = F.when(F.col(lens) - at * step < overlap, F.array(at, at - 1)).otherwise(F.array(at))
+    rows = df.where(F.col(lens).isNotNull() & F.col(inside).isNotNull()).select(key, F.explode(near).alias("i"), F.floor(F.col(inside) / cell).alias("j"))
+    members = rows.select(key, F.concat_ws("|", F.col("i").cast("string"), F.col("j").cast("string")).alias("node"))
+    return members.groupBy("node").agg(F.count("*").alias("n")), shared_members(members, "node", key)

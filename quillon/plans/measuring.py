@@ -47,6 +47,16 @@ def _q1(spark, d):
     return out.select("patient", "visit_no", *[F.round(c, 6).alias(c) for c in out.columns[2:-1]], "n_obs")
 
 
+@query("follow_up_scores", f"""WITH {CELLS_SQL.replace('FROM panel), z', "FROM panel WHERE visit = 'V0'), z").replace('FROM panel, mo)', "FROM panel, mo WHERE visit <> 'V0')")} SELECT patient, visit_no, round((pc * ba - pb * bb) / det, 6) AS g__mean, round(1 - pc / det, 6) AS g__reliability, CAST(n_obs AS BIGINT) AS n_obs FROM c""")
+def _q1b(spark, d):
+    """Later visits scored under the moments frozen at baseline and the fixed map; reliability 1 - posterior variance."""
+    p = panel(spark, d)
+    s = p.where("visit = 'V0'").agg(*[F.avg(c).alias(f"{c}_m") for c in _ITEMS], *[F.stddev_samp(c).alias(f"{c}_s") for c in _ITEMS])
+    z = p.where("visit <> 'V0'").crossJoin(F.broadcast(s)).select("patient", "visit_no", *[((F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s")).alias(c) for c in _ITEMS])
+    out = m.conditional_scores(z, ["patient", "visit_no"], list(_ITEMS), LAM, PHI, SIGMA, ["g", "s"])
+    return out.select("patient", "visit_no", F.round("g__mean", 6).alias("g__mean"), F.round(1 - F.col("g__sd") ** 2, 6).alias("g__reliability"), "n_obs")
+
+
 @query("observed_loglik", f"""WITH {CELLS_SQL} SELECT patient, visit_no, round(-0.5 * (n_obs * ln(2 * pi()) + lp + ln(0.91 * det) + xx - (ba * (pc * ba - pb * bb) + bb * (pa * bb - pb * ba)) / det), 5) AS loglik FROM c""")
 def _q2(spark, d):
     """M4, M5, M6."""

@@ -362,3 +362,62 @@ def _q36(spark, d):
     z = F.col("p_size")
     values = [(z / 50.0, 0.5, 0.3, True), (z % 11 / 10.0, 0.8, 0.5, True), (z % 7 / 10.0, 0.3, 0.5, False), (z % 5 / 10.0, 0.3, 0.4, False), (z % 3 / 10.0, 0.1, 0.2, False)]
     return table(spark, d, "part").select("p_partkey", r.worst_of(values).alias("verdict"))
+
+
+@query("convergence_gate", """SELECT p_partkey, CASE WHEN 1 + p_size / 500.0 > 1.05 OR p_size * 20 < 100 OR p_size % 4 > 2 THEN 'fail' WHEN 1 + p_size / 500.0 > 1.01 OR p_size * 20 < 400 OR p_size % 4 > 0 THEN 'usable' ELSE 'clean' END AS gate FROM part""")
+def _q37(spark, d):
+    """Gates on R-hat, effective sample size and divergences."""
+    z = F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", x.convergence_gate(1 + z / 500.0, z * 20, z % 4).alias("gate"))
+
+
+@query("robustness_sweep", f"""WITH {ROWS}, l AS (SELECT cohort, y, a, 1.0::DOUBLE AS w, 'plain' AS weighting FROM d UNION ALL SELECT cohort, y, a, 1 + visit_no, 'by visit' FROM d), s AS (SELECT cohort, weighting, count(*) n, sum(w) w, sum(w*a) wa, sum(w*y) wy, sum(w*a*a) waa, sum(w*a*y) way FROM l GROUP BY GROUPING SETS ((cohort, weighting), (weighting)))
+SELECT coalesce(cohort, 'pooled') AS scope, weighting, n, round((w * way - wa * wy) / (w * waa - wa * wa), 6) AS slope FROM s""")
+def _q38(spark, d):
+    """A slope in each cohort and pooled, under each weighting, from one pass of sums."""
+    rows = _rows(spark, d)
+    cells = F.array(F.struct(F.lit("plain").alias("weighting"), F.lit(1.0).alias("w")), F.struct(F.lit("by visit").alias("weighting"), (1.0 + F.col("visit_no")).alias("w")))
+    long = rows.select("cohort", "y", "a", F.explode(cells).alias("c")).select("cohort", "y", "a", "c.weighting", "c.w")
+    w, a, y = F.col("w"), F.col("a"), F.col("y")
+    s = long.groupingSets([["cohort", "weighting"], ["weighting"]], "cohort", "weighting").agg(F.count("*").alias("n"), F.sum(w).alias("sw"), F.sum(w * a).alias("wa"), F.sum(w * y).alias("wy"), F.sum(w * a * a).alias("waa"), F.sum(w * a * y).alias("way"))
+    slope = (F.col("sw") * F.col("way") - F.col("wa") * F.col("wy")) / (F.col("sw") * F.col("waa") - F.col("wa") ** 2)
+    return s.select(F.coalesce("cohort", F.lit("pooled")).alias("scope"), "weighting", "n", F.round(slope, 6).alias("slope"))
+
+
+MAPPER = f"""{LATENT_SQL}, r AS (SELECT vec_id, CAST(floor(x0 / 0.1) AS BIGINT) AS i, CAST(floor(x1 / 0.2) AS BIGINT) AS j, x0 - floor(x0 / 0.1) * 0.1 AS off FROM latent), m AS (SELECT vec_id, i || '|' || j AS node FROM r UNION ALL SELECT vec_id, (i - 1) || '|' || j FROM r WHERE off < 0.03)"""
+
+
+@query("mapper_nodes", f"WITH {MAPPER} SELECT node, count(*) AS n FROM m GROUP BY 1")
+def _q39(spark, d):
+    """Nodes of a cover with overlaps."""
+    from quillon.operators.structure import mapper_graph
+
+    return mapper_graph(latent(spark, d, 2), "vec_id", "x0", "x1", 0.1, 0.03, 0.2)[0]
+
+
+@query("mapper_edges", f"WITH {MAPPER} SELECT a.node AS a, b.node AS b, count(*) AS n FROM m a JOIN m b ON a.vec_id = b.vec_id AND a.node < b.node GROUP BY ALL")
+def _q40(spark, d):
+    """Their edges, by shared members."""
+    from quillon.operators.structure import mapper_graph
+
+    return mapper_graph(latent(spark, d, 2), "vec_id", "x0", "x1", 0.1, 0.03, 0.2)[1]
+
+
+@query("frozen_design", f"""WITH {PANEL_SQL}, f AS (SELECT avg(mean_price) m, stddev_pop(mean_price) s, avg(urgent_price) u FROM panel WHERE visit = 'V0') SELECT patient, visit, round((mean_price - m) / s, 6) AS z_price, round(coalesce(urgent_price, u) / 100000, 6) AS filled, CAST(cohort = 'BUILDING' AS INTEGER) AS building FROM panel, f WHERE visit <> 'V0'""")
+def _q41(spark, d):
+    """A covariate design frozen at baseline (means fill the design alone, never an item), applied to later visits."""
+    p = panel(spark, d)
+    f = p.where("visit = 'V0'").agg(F.avg("mean_price").alias("m"), F.stddev_pop("mean_price").alias("s"), F.avg("urgent_price").alias("u"))
+    later = p.where("visit <> 'V0'").crossJoin(F.broadcast(f))
+    return later.select("patient", "visit", F.round((F.col("mean_price") - F.col("m")) / F.col("s"), 6).alias("z_price"), F.round(F.coalesce("urgent_price", "u") / 100000, 6).alias("filled"), (F.col("cohort") == "BUILDING").cast("int").alias("building"))
+
+
+@query("implied_correlation", """WITH l(i, a, b) AS (VALUES (0, 0.8::DOUBLE, 0.1::DOUBLE), (1, 0.7, 0.0), (2, 0.6, 0.3), (3, 0.2, 0.7)), s(i, v) AS (VALUES (0, 0.36::DOUBLE), (1, 0.49), (2, 0.49), (3, 0.36)), c AS (SELECT x.i, y.i AS j, x.a * y.a + 0.3 * (x.a * y.b + x.b * y.a) + x.b * y.b + CASE WHEN x.i = y.i THEN v ELSE 0 END AS c FROM l x, l y JOIN s ON s.i = y.i)
+SELECT CAST(p.i AS INTEGER) AS i, CAST(p.j AS INTEGER) AS j, round(p.c / sqrt(q.c * r.c), 8) AS r FROM c p JOIN c q ON q.i = p.i AND q.j = p.i JOIN c r ON r.i = p.j AND r.j = p.j WHERE p.i < p.j""")
+def _q42(spark, d):
+    """Correlations that loadings, factor correlations and noise imply."""
+    from quillon.operators.structure import implied_correlation
+    from quillon.plans.measuring import LAM, PHI, SIGMA
+
+    c = implied_correlation(LAM, PHI, SIGMA)
+    return spark.createDataFrame([(i, j, round(float(c[i, j]), 8)) for i in range(4) for j in range(i + 1, 4)], "i int, j int, r double")

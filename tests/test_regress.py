@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -221,3 +222,11 @@ def test_a_stage_runs_once_for_a_key(spark, tmp_path):
     for key in ("a", "a", "b"):
         assert structure.cached_stage(spark, str(tmp_path), "s", key, build).count() == 3
     assert len(calls) == 2
+
+
+def test_alignment_is_the_least_of_all():
+    g = np.random.default_rng(7)
+    for n in (1, 2, 5, 7):
+        a, b = g.normal(size=(n, 3)), g.normal(size=(n, 3))
+        cost = lambda p: sum(((a[i] - b[j]) ** 2).sum() for i, j in enumerate(p))
+        assert cost(structure.align(a, b)) == pytest.approx(min(map(cost, itertools.permutations(range(n)))))
