@@ -43,6 +43,39 @@ def test_walk_places_all_rows_within_bounds(counts, shards):
     assert (at == counts).all() and (took <= room).all()
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 12), min_size=32, max_size=32), st.integers(1, 6))
+def test_walk_equals_rows_that_walk_one_by_one(counts, shards):
+    """Turn by turn every row asks where it stands; who finds no room goes on to the next cell of a shard that has some."""
+    owner, room = hash_ring.ring(shards, 4, 32), hash_ring.bounds(sum(counts), shards)
+    got = {(cell, k): s for cell, first, s, n in hash_ring.walk(np.array(counts), owner, room) for k in range(first, first + n)}
+    left, placed = room.copy(), {}
+    rows = [(c, k, c) for c, n in enumerate(counts) for k in range(n)]
+    while rows:
+        rest = []
+        for home, k, at in rows:
+            s = owner[at]
+            if left[s]:
+                left[s] -= 1
+                placed[home, k] = int(s)
+            else:
+                rest.append((home, k, at))
+        rows = []
+        for home, k, at in rest:
+            while not left[owner[at]]:
+                at = (at + 1) % 32
+            rows.append((home, k, at))
+    assert got == placed
+
+
+def test_rows_of_one_id_are_parted(spark):
+    """A third of the rows share an id, some have none, and some are the same: each has its slot, cells are ranked in parts."""
+    rows = [(7, f"text {k}") for k in range(300)] + [(None, None)] * 200 + [(k, "x") for k in range(400)] + [(5, "same")] * 100
+    out = hash_ring.assign(spark.createDataFrame(rows, "doc_id long, text string"), 3).toPandas()
+    assert len(out) == 1000 and sorted(out.groupby("shard").size()) == [333, 333, 334]
+    assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard")["slot"])
+
+
 def test_rows_stay_where_the_ring_puts_them_while_there_is_room():
     r = np.random.default_rng(0)
     counts, owner = r.poisson(50, hash_ring.CELLS), hash_ring.ring(8)

@@ -200,3 +200,39 @@ def test_models_of_other_kinds_are_refused():
     assert piece_codec.unsupported(trained + spec(3, b"\x18\x00", b"\x20\x00")) == ["no leading space"]
     assert piece_codec.unsupported(trained) == ["white space that is dropped"]
     assert piece_codec.unsupported(trained + normal + spec(1, b"\x0a\x01x", b"\x18\x04")) == ["user-defined symbols"]
+
+
+def nonnegative_least_squares(a, b, steps=400):
+    """By active sets: the column with the steepest gradient enters, columns that would fall below 0 leave."""
+    x, active = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    for _ in range(steps):
+        grad = a.T @ (b - a @ x)
+        grad[active] = -np.inf
+        if grad.max(initial=-np.inf) < 1e-9:
+            break
+        active[grad.argmax()] = True
+        while True:
+            z = np.zeros_like(x)
+            z[active] = np.linalg.lstsq(a[:, active], b, rcond=None)[0]
+            if (z[active] > 0).all():
+                break
+            low = active & (z <= 0)
+            step = (x[low] / (x[low] - z[low])).min()
+            x = x + step * (z - x)
+            active &= x > 1e-12
+        x = z
+    return x
+
+
+def test_fitted_repeats_equal_an_independent_fit():
+    r = np.random.default_rng(0)
+    for capacity in (20, 31):
+        histogram = np.zeros(capacity + 1)
+        some = r.choice(np.arange(1, capacity), 9, replace=False)
+        histogram[some] = r.integers(1, 60, 9)
+        patterns = packing.exact_patterns(some, capacity)
+        weight = np.sqrt(np.arange(capacity + 1) / (capacity + 1))
+        a = np.stack([np.bincount(p[p > 0], minlength=capacity + 1) for p in patterns], axis=1) * weight[:, None]
+        own, other = packing.fit_repeats(patterns, histogram, 20_000), nonnegative_least_squares(a, weight * histogram)
+        error = lambda x: float(((a @ x - weight * histogram) ** 2).sum())
+        assert (own >= 0).all() and error(own) == pytest.approx(error(other), rel=1e-3, abs=1e-3)
