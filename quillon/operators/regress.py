@@ -405,3 +405,12 @@ def worst_of(criteria: list[tuple[Column, float, float, bool]]) -> Column:
     grades = [F.when(v >= a, 2).when(v >= b, 1).otherwise(0) if up else F.when(v < a, 2).when(v < b, 1).otherwise(0) for v, a, b, up in criteria]
     low = F.least(*grades)
     return F.when(low == 2, "PASS").when(low == 1, "CONDITIONAL").otherwise("FAIL")
+
+
+def incremental_density(df: DataFrame, y: str, base: dict[str, Column], full: dict[str, Column], key: str, family: str = "bernoulli", weight: Column | None = None, ridge: float = 1.0) -> DataFrame:
+    """n, d, se and verdict: the gain in left-out log density of the terms that `full` has beyond `base`."""
+    from quillon.operators.metrics import incremental_verdict, paired_difference
+
+    parts = [left_out(df, y, xs, fit(df, y, xs, family, weight, ridge), weight, [key]).withColumnRenamed("elpd", n) for xs, n in ((base, "e0"), (full, "e1"))]
+    out = paired_difference(parts[0].join(parts[1], key), "e1", "e0")
+    return out.withColumn("verdict", incremental_verdict(F.col("d"), F.col("se")))

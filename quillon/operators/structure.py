@@ -322,3 +322,17 @@ def mapper_graph(df: DataFrame, key: str, lens: str, inside: str, step: float, o
     rows = df.where(F.col(lens).isNotNull() & F.col(inside).isNotNull()).select(key, F.explode(near).alias("i"), F.floor(F.col(inside) / cell).alias("j"))
     members = rows.select(key, F.concat_ws("|", F.col("i").cast("string"), F.col("j").cast("string")).alias("node"))
     return members.groupBy("node").agg(F.count("*").alias("n")), shared_members(members, "node", key)
+
+
+def archetype_robustness(df: DataFrame, key: str, axes: list[str], start: np.ndarray, repeats: int = 3, iterations: int = 6) -> DataFrame:
+    """anchor, drift, explained: how far each anchor moves, on average, when it is fitted to halves of the rows, and the whole fit's share.
+
+    Halves are picked by digests of the key; their anchors are matched with the whole fit's one to one.
+    """
+    whole = archetypes(df, axes, start, iterations)
+    drift = np.zeros(len(start))
+    for k in range(repeats):
+        half = df.where(F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(k)))), 1, 4), 16, 10).cast("int") % 2 == 0)
+        found = archetypes(half, axes, start, iterations)["anchors"]
+        drift += np.sqrt(((whole["anchors"] - found[align(whole["anchors"], found)]) ** 2).sum(1)) / repeats
+    return df.sparkSession.createDataFrame([(k, float(v), float(whole["explained"])) for k, v in enumerate(drift)], "anchor int, drift double, explained double")

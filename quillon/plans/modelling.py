@@ -421,3 +421,22 @@ def _q42(spark, d):
 
     c = implied_correlation(LAM, PHI, SIGMA)
     return spark.createDataFrame([(i, j, round(float(c[i, j]), 8)) for i in range(4) for j in range(i + 1, 4)], "i int, j int, r double")
+
+
+@query("incremental_density")
+def _q43(spark, d):
+    """What an axis and its interactions with the cohort add to a 0/1 endpoint, in left-out density."""
+    rows = _rows(spark, d).withColumns({"hit": (F.col("y") > 2.0).cast("int"), "key": F.concat_ws("|", "patient", "visit"), "building": (F.col("cohort") == "BUILDING").cast("double")})
+    base = {"a": F.col("a") - 2.0, "building": F.col("building")}
+    return r.incremental_density(rows, "hit", base, {**base, "b": F.col("b") - 2.5, "building:b": F.col("building") * (F.col("b") - 2.5)}, "key")
+
+
+@query("archetype_robustness")
+def _q44(spark, d):
+    """Anchors under halves of the rows, matched one to one."""
+    from quillon.operators.structure import archetype_robustness
+
+    rows = latent(spark, d, 3).cache()
+    out = archetype_robustness(rows, "vec_id", ["x0", "x1", "x2"], 0.2 * np.array([[1.0, 0, 0], [0, 1, 0], [0, 0, 1], [-1, -1, -1]]))
+    rows.unpersist()
+    return out

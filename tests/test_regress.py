@@ -230,3 +230,20 @@ def test_alignment_is_the_least_of_all():
         a, b = g.normal(size=(n, 3)), g.normal(size=(n, 3))
         cost = lambda p: sum(((a[i] - b[j]) ** 2).sum() for i, j in enumerate(p))
         assert cost(structure.align(a, b)) == pytest.approx(min(map(cost, itertools.permutations(range(n)))))
+
+
+def test_incremental_density_tells_what_adds(rows):
+    df, _ = rows
+    base = {"x1": F.col("x1")}
+    assert r.incremental_density(df, "b", base, xs(), "k").collect()[0].verdict == "predictive"
+    idle = {**base, "idle": F.sin(F.col("k") * 12.9898)}
+    assert r.incremental_density(df, "b", base, idle, "k").collect()[0].verdict != "predictive"
+
+
+def test_anchors_of_a_triangle_are_robust(spark):
+    g = np.random.default_rng(8)
+    corners = np.array([[0.0, 0], [4, 0], [0, 4]])
+    x = g.dirichlet([0.5] * 3, 900) @ corners
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(x)], "k long, x double, y double").cache()
+    out = structure.archetype_robustness(df, "k", ["x", "y"], corners + 0.3, 2, 8).collect()
+    assert all(v.drift < 0.3 and v.explained > 0.95 for v in out)
