@@ -63,7 +63,13 @@ PATTERNS = {
     "threatened": r"\b(?:(?:i|we)(?:'ll| will) (?:kill|hurt|find) you|kill yourself|you (?:should|deserve to) die)\b",
     "censored": r"\b[a-z]{1,2}[*#@$]{1,3}[a-z]{1,4}\b",
 }
-_PATTERNS = [re.compile(p) for p in PATTERNS.values()]
+_PATTERNS = {n: re.compile(p) for n, p in PATTERNS.items()}
+#: Strings of which a text that a pattern fits has one; an address also needs a term.
+_NEEDED = {
+    "dismissed": ("shut up", "get lost", "go to hell", "drop dead", "nobody ", "people like you", "halt die klappe", "ferme ta gueule", "llate", "rgate"),
+    "threatened": (" you", "kill yourself", "to die"),
+    "censored": ("*", "#", "@", "$"),
+}
 #: Columns after the terms' own: of votes (density, shouting, exclamation, no term, patterns) and of features (any term, density, one hit, capitals, exclamation, patterns).
 _MORE_VOTES, _MORE_FEATURES = 4 + len(PATTERNS), 5 + len(PATTERNS)
 _WORD = re.compile(r"\w+")
@@ -192,7 +198,7 @@ class ToxicityModel:
             share = sum(found.values()) / max(words, 1)
             voted = bool(votes[i, :m].any())
             low = t.lower()
-            matched = [bool(p.search(low)) for p in _PATTERNS]
+            matched = [(bool(found) if n == "addressed" else any(s in low for s in _NEEDED[n])) and bool(p.search(low)) for n, p in _PATTERNS.items()]
             votes[i, m:] = bool(found) and share >= DENSE, capitals > 0.3, shouts > 0.02, -(not voted), *matched
             feats[i, m:] = voted, min(3.0, share / DENSE), bool(found), capitals, min(1.0, 20 * shouts), *matched
         return votes, feats
