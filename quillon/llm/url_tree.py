@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.batches import fresh_name
 from quillon.runtime import cut, ship
 
 DEPTH, MOST_CHILDREN, RARE = 4, 12, 0.01
@@ -59,17 +60,24 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
-def no_prose(html: Column) -> Column:
-    """Whether a page's text (its article's, if it has one) is no prose; null without words."""
-    article = F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*)</article>", 1)
-    body = F.when(article != "", article).otherwise(F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1>", " "))
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"(?s)<!--.*?-->|<[^>]*>", " "), "&amp;", "&"), r"&(lt|gt|quot|nbsp|#\d+);", " "))
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    share = lambda pattern, of: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / F.greatest(of, F.lit(1))
-    strange = share(r"[%$&#*@^~{}|\\=+_]", F.length(text)) > SYMBOLS
-    loud = (share(r"\p{Lu}", F.length(text)) > CAPITALS) | (share("!", F.size(words)) > EXCLAIMED)
-    again = 1 - F.size(F.array_distinct(words)) / F.size(words) > REPEATED
-    return F.when(F.size(words) > 0, strange | loud | again)
+def with_noise(df: DataFrame, html: str, name: str) -> DataFrame:
+    """df with whether a page's text (its article's, if it has one) is no prose; null without words.
+
+    Each step is a column of its own, so that none is worked out again for every measure that needs it.
+    """
+    article, text, words = (fresh_name([*df.columns, name], n) for n in ("_article", "_text", "_words"))
+    out = df.withColumn(article, F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*)</article>", 1))
+    whole = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1>", " ")
+    out = out.withColumn(text, F.regexp_replace(F.when(F.col(article) != "", F.col(article)).otherwise(whole), r"(?s)<!--.*?-->|<[^>]*>|&(?:lt|gt|quot|nbsp|#\d+);", " "))
+    out = out.withColumn(text, F.trim(F.replace(F.col(text), F.lit("&amp;"), F.lit("&"))))
+    out = out.withColumn(words, F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    t, w = F.col(text), F.col(words)
+    dropped = lambda characters: F.length(t) - F.length(F.translate(t, characters, ""))
+    strange = dropped("%$&#*@^~{}|\\=+_") > SYMBOLS * F.length(t)
+    capitals = F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}+", ""))
+    loud = (capitals > CAPITALS * F.length(t)) | (dropped("!") > EXCLAIMED * F.size(w))
+    again = 1 - F.size(F.array_distinct(w)) / F.size(w) > REPEATED
+    return out.withColumn(name, F.when(F.size(w) > 0, strange | loud | again)).drop(article, text, words)
 
 
 def typed_path(path: Column) -> Column:
@@ -177,8 +185,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], bad: Column | Non
     url = F.col(url_col)
     host, path = host_and_path(url)
     shown = html_col.lower() in {c.lower() for c in pages.columns}
-    noise = no_prose(F.col(html_col)) if shown else F.lit(None).cast("boolean")
-    narrow = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"), noise.alias("noise"))
+    narrow = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"), (F.col(html_col) if shown else F.lit(None).cast("string")).alias("html"))
+    narrow = with_noise(narrow, "html", "noise").drop("html")
     rule, ruled = fitting_rule(F.col("host"), F.col("path"), rules)
     narrow = narrow.select("*", rule.alias("rule"), ruled.alias("ruled"), typed_path(F.col("path")).alias("typed"))
     if bad is None:

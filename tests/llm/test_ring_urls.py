@@ -237,7 +237,7 @@ def test_content_labels(spark):
         "null": (None, None),
     }
     df = spark.createDataFrame([(k, v[0]) for k, v in texts.items()], "name string, html string")
-    got = {x.name: x.n for x in df.select("name", url_tree.no_prose(url_tree.F.col("html")).alias("n")).collect()}
+    got = {x.name: x.n for x in url_tree.with_noise(df, "html", "n").collect()}
     assert got == {k: v[1] for k, v in texts.items()}
 
 
