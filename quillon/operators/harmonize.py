@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.expressions import normal_ppf
 from quillon.operators.ordered import joined_by, quantiles, with_place, with_rank
+from quillon.runtime import cut
 
 Rule = Callable[[Column, Column], Column]
 _RULES: dict[str, Rule] = {}
@@ -112,7 +113,8 @@ def gate_report(df: DataFrame, rules: list[tuple[str, float, str, float]]) -> Da
 def normalized(df: DataFrame, items: list[str]) -> DataFrame:
     """Items of at most ten values to [-1, 1] by range; others winsorised, by robust z, to five deviations; constants 0."""
     long = df.unpivot([], items, "item", "value").where("value is not null")
-    counts = long.groupBy("item", "value").agg(F.count("*").alias("k"))  # all that follows needs values and how often they occur
+    # all that follows needs values and how often they occur; written, as a mean worked out again may differ in its last bit
+    counts = cut(long.groupBy("item", "value").agg(F.count("*").alias("k")), "counts")
     extent = counts.groupBy("item").agg(F.count("*").alias("d"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     ends = quantiles(counts, ["item"], "value", [0.01, 0.99], "k").select("item", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q99"))
     clipped = joined_by(counts, ends, ["item"]).select("item", "k", F.least(F.greatest("value", "q1"), "q99").alias("w"))
