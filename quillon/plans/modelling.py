@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillon.functions.expressions import normal_cdf
+from quillon.functions.expressions import normal_cdf, round_product
 from quillon.operators import metrics, mixed as x, regress as r
 from quillon.operators.ordered import with_rank
 from quillon.plans.catalog import query
@@ -405,11 +405,14 @@ def _q40(spark, d):
 
 @query("frozen_design", f"""WITH {PANEL_SQL}, f AS (SELECT avg(mean_price) m, stddev_pop(mean_price) s, avg(urgent_price) u FROM panel WHERE visit = 'V0') SELECT patient, visit, round((mean_price - m) / s, 6) AS z_price, round(coalesce(urgent_price, u) / 100000, 6) AS filled, CAST(cohort = 'BUILDING' AS INTEGER) AS building FROM panel, f WHERE visit <> 'V0'""")
 def _q41(spark, d):
-    """A covariate design frozen at baseline (means fill the design alone, never an item), applied to later visits."""
-    p = panel(spark, d)
+    """A covariate design frozen at baseline (means fill the design alone, never an item), applied to later visits.
+
+    Prices whose last digit is 5 are halves here, so means are added in one order and rounded as the SQL's engine does.
+    """
+    p = panel(spark, d, in_order=True)
     f = p.where("visit = 'V0'").agg(F.avg("mean_price").alias("m"), F.stddev_pop("mean_price").alias("s"), F.avg("urgent_price").alias("u"))
     later = p.where("visit <> 'V0'").crossJoin(F.broadcast(f))
-    return later.select("patient", "visit", F.round((F.col("mean_price") - F.col("m")) / F.col("s"), 6).alias("z_price"), F.round(F.coalesce("urgent_price", "u") / 100000, 6).alias("filled"), (F.col("cohort") == "BUILDING").cast("int").alias("building"))
+    return later.select("patient", "visit", round_product((F.col("mean_price") - F.col("m")) / F.col("s"), 6).alias("z_price"), round_product(F.coalesce("urgent_price", "u") / 100000, 6).alias("filled"), (F.col("cohort") == "BUILDING").cast("int").alias("building"))
 
 
 @query("implied_correlation", """WITH l(i, a, b) AS (VALUES (0, 0.8::DOUBLE, 0.1::DOUBLE), (1, 0.7, 0.0), (2, 0.6, 0.3), (3, 0.2, 0.7)), s(i, v) AS (VALUES (0, 0.36::DOUBLE), (1, 0.49), (2, 0.49), (3, 0.36)), c AS (SELECT x.i, y.i AS j, x.a * y.a + 0.3 * (x.a * y.b + x.b * y.a) + x.b * y.b + CASE WHEN x.i = y.i THEN v ELSE 0 END AS c FROM l x, l y JOIN s ON s.i = y.i)

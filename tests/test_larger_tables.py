@@ -53,3 +53,10 @@ def test_distinct_means_do_not_depend_on_the_order_of_rows(spark, tmp_path):
     prices = [0.1, 0.2, 0.3]  # 0.6000000000000001 from the left, 0.6 from the right
     orders = [(10 * customer + k, customer, 1996, p, "1-URGENT") for customer in range(4) for k, p in enumerate(prices)]
     equal(spark, made(tmp_path, orders[:6] + orders[:5:-1]), "item_routing", ["item"])
+
+
+def test_halves_are_rounded_as_the_sql_does(spark, tmp_path):
+    orders = []
+    for customer in range(400):  # 16166.15 / 100000 is one bit below the half, its product with a million is the half
+        orders += [(2 * customer, customer, 1995, 1000.0 + customer, "2-HIGH"), (2 * customer + 1, customer, 1996, round(16000.05 + customer * 997.1 + 0.1 * (customer % 7), 2), "1-URGENT")]
+    equal(spark, made(tmp_path, orders), "frozen_design", ["patient", "visit"])
