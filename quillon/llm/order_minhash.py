@@ -49,7 +49,7 @@ from pyspark.sql.window import Window
 
 from quillon.llm.batches import fresh_name, mix, slabs, span_hashes, utf8
 from quillon.llm.components import joined
-from quillon.runtime import cut, ship
+from quillon.runtime import cut, forget, ship
 
 #: Words of a k-mer, k-mers of a sketch, sketches, and the most words of a text that has them (0: any).
 SHORT = 60
@@ -325,6 +325,8 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
         wanted = names.join(candidates, "rep")
         texts = rows.join(wanted, "digest").where(own).select(F.col("rep").alias("id"), "text")
         texts = cut(texts.groupBy("id").agg(F.first("text").alias("text")), "texts")
+        whole, narrow = narrow, cut(narrow.select("id", "digest", "n"), "rows")
+        forget(whole)  # sketches and histograms are a large part of what is on the disk
         stars = cut(_stars(members, shown, threshold), "stars")
         known = None
         for k in range(STARS):
@@ -372,10 +374,13 @@ def _digest(text: Column) -> Column:
 
 
 def _members(reps: DataFrame) -> DataFrame:
-    """bucket, rep, n and pivot (the bucket's least) of representatives that share a bucket with another."""
-    all_ = reps.select("rep", "n", F.explode("sk").alias("bucket"))
+    """bucket, rep and pivot (the bucket's least) of representatives that share a bucket with another.
+
+    Both sides of the join have the same columns dealt the same way, so the sketches are written to a shuffle once.
+    """
+    all_ = reps.select("rep", F.explode("sk").alias("bucket")).repartition("bucket")
     shared = all_.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("high")).where("pivot != high").select("bucket", "pivot")
-    return all_.join(shared, "bucket").select("bucket", "rep", "n", "pivot")
+    return all_.join(shared, "bucket").select("bucket", "rep", "pivot")
 
 
 def _stars(members: DataFrame, shown: DataFrame, threshold: float) -> DataFrame:

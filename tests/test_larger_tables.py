@@ -1,13 +1,16 @@
 """Queries against their SQL on small tables made to hold what larger ones do."""
 
 import datetime
+import time
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from quillon.plans import catalog
+from quillon.runtime import cut, forget
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
@@ -60,3 +63,17 @@ def test_halves_are_rounded_as_the_sql_does(spark, tmp_path):
     for customer in range(400):  # 16166.15 / 100000 is one bit below the half, its product with a million is the half
         orders += [(2 * customer, customer, 1995, 1000.0 + customer, "2-HIGH"), (2 * customer + 1, customer, 1996, round(16000.05 + customer * 997.1 + 0.1 * (customer % 7), 2), "1-URGENT")]
     equal(spark, made(tmp_path, orders), "frozen_design", ["patient", "visit"])
+
+
+def test_a_write_leaves_no_shuffle_files(spark):
+    def files():
+        return set(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|").split("|")) - {""}
+
+    before = files()
+    out = cut(spark.range(1000).groupBy((F.col("id") % 10).alias("g")).count())
+    until = time.time() + 5
+    while files() - before and time.time() < until:  # they are deleted by a thread of their own
+        time.sleep(0.2)
+    assert not files() - before
+    assert out.count() == 10
+    forget(out)
